@@ -157,9 +157,9 @@ def build_index(docs: DataFrame, owners: int | None = None, capacity: int = BUCK
     bits = max(1, ((owners or 8 * n) - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), (text_key() if key is None else key).alias("key"))
     rows = rows.select("doc_id", "text", F.shiftrightunsigned("key", 64 - bits).cast("int").alias("owner"), "key")
-    combined = rows.mapInArrow(partial(_combine, window), COMBINED_SCHEMA)
+    combined = common.map_batches(rows, partial(_combine, window), COMBINED_SCHEMA)
     dealt = combined.repartition(n, "owner").sortWithinPartitions("owner", "key")
-    return common.stored(dealt.mapInArrow(partial(_index, capacity), INDEX_SCHEMA), "hash-index")
+    return common.stored(common.map_batches(dealt, partial(_index, capacity), INDEX_SCHEMA), "hash-index")
 
 
 def directory(index: DataFrame) -> DataFrame:

@@ -129,4 +129,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         raise ValueError("the capacity must be a power of two")
     path = path or tokens.vocabulary_path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(partial(_pieces, path, end_id, capacity, group_tokens), PIECE_SCHEMA)
+    return common.map_batches(rows, partial(_pieces, path, end_id, capacity, group_tokens), PIECE_SCHEMA)

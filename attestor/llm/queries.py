@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import exact_dedup, packing, simhash_pivots, token_files
+from attestor.llm import decontaminate, exact_dedup, hash_tree, language_hd, packing, perspectives, quality_gbt, secret_markov, simhash_pivots, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op2_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_hd.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_markov.report(secret_markov.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -30,9 +54,10 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_token_files": op3_token_files,
-    "op6_cost_packing": op6_cost_packing,
-    "op9_exact_dedup": op9_exact_dedup,
-    "op10_simhash_pivots": op10_simhash_pivots,
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_perspective_rotation, op2_language_hd, op3_token_files, op4_decontaminate, op5_hash_tree,
+        op6_cost_packing, op7_quality_gbt, op8_secret_markov, op9_exact_dedup, op10_simhash_pivots,
+    )
+}
+ORACLES: dict[str, str] = {"op1_perspective_rotation": perspectives.ROTATE_SQL}

@@ -92,7 +92,7 @@ def _fingerprints(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) ->
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the SimHash of every whole text, as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, shingle, seed), "doc_id long, fp long")
+    return common.map_batches(rows, partial(_fingerprints, shingle, seed), "doc_id long, fp long")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -228,7 +228,7 @@ def links(classes: DataFrame, count: int, most: int = MOST_BITS) -> DataFrame:
     rows = classes.select("fp", "name", F.explode(cells).alias("c")).select("c.cell", "c.inner", "fp", "name")
     n = common.partitions(classes.sparkSession)
     dealt = rows.repartition(n, "cell", "inner").sortWithinPartitions("cell", "inner", "fp").select("cell", "fp", "name")
-    return dealt.mapInArrow(partial(_links, masks, most), "u long, v long")
+    return common.map_batches(dealt, partial(_links, masks, most), "u long, v long")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, most: int = MOST_BITS) -> DataFrame:

@@ -173,7 +173,7 @@ def write_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt = dealt.withColumn("part", F.spark_partition_id())
-    return common.stored(dealt.mapInArrow(partial(_blocks, path, end_id, block_ids), BLOCK_SCHEMA), "token-blocks")
+    return common.stored(common.map_batches(dealt, partial(_blocks, path, end_id, block_ids), BLOCK_SCHEMA), "token-blocks")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     before = by_part.selectExpr("part", "coalesce(sum(of_part) over (order by part rows between unbounded preceding and 1 preceding), 0) as before_part")
     within = counts.selectExpr("part", "block", "coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0) as before_block")
     offsets = within.join(before, "part").selectExpr("part", "block", "before_part + before_block as before")
-    rows = blocks.select("part", "block", "data").mapInArrow(_documents, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = common.map_batches(blocks.select("part", "block", "data"), _documents, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, ["part", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
