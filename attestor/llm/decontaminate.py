@@ -155,7 +155,7 @@ def _windows(block: Block, numbers: np.ndarray, document: np.ndarray, first: np.
         where = np.repeat(inside, count)
         item, place = places[which].T
         pairs.append(np.stack((document[where], item, where - first[document[where]] - place), 1))
-    if not pairs:
+    if not sum(map(len, pairs)):
         return []
     found = np.unique(np.concatenate(pairs), axis=0)  # document, item, diagonal, in that order
     size = np.array([len(x) for x in block.items])[found[:, 1]]
