@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased whitespace tokens with all but letters and digits removed.  From every place of a
+Words are lower-cased tokens between ASCII white space, without ASCII punctuation.  From every place of a
 test item the shortest n-gram is a seed whose words, by their frequencies in all documents, are rare
 enough together that chance makes it up at most SPARE times in the whole corpus (it may occur as often
 as it likes, as a leaked passage does).  An item without such a place is seeded with all its n-grams of
@@ -26,6 +26,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial, reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,34 +39,28 @@ FEWEST_WORDS, MOST_WORDS, SPARE = 2, 8, 0.25
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 BLOCK_WORDS = 500_000
-#: Tokens whose word number one Python worker remembers.
-MEMO_TOKENS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 LEAK_SCHEMA = "doc_id long, item_id long, score double, start long, end long, places long"
 
 
-def normal(token: str) -> str:
-    return "".join(filter(str.isalnum, token))
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_TOKEN = re.compile(r"[^ \t\n\r\v\f]+")
 
 
-def words(text: str) -> list[str]:
-    return [w for w in map(normal, text.lower().split()) if w]
+def words(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split()
 
 
-class Numbering(dict):
-    """Token to number: that of a benchmark word (1 and more), 0 for other words, -1 for no word."""
+def numbers_of(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The number of each word: that of a benchmark word (1 and more), 0 for others."""
+    found = words(text)
+    return np.fromiter(map(vocabulary.get, found, repeat(0)), np.int64, len(found))
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, token: str) -> int:
-        word = normal(token)
-        number = self.vocabulary.get(word, 0) if word else -1
-        if len(self) < MEMO_TOKENS:
-            self[token] = number
-        return number
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where each word lies in the text, in code points."""
+    return [m.span() for m in _TOKEN.finditer(text) if words(m[0])]
 
 
 @dataclass
@@ -74,7 +69,7 @@ class Block:
 
     item_ids: list[int | None]
     items: list[np.ndarray]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hashes, places' first, places
 
     def seed(self, counts: Counter, total: int) -> None:
@@ -168,10 +163,9 @@ def _windows(block: Block, numbers: np.ndarray, document: np.ndarray, first: np.
     return list(zip(found[starts, 0].tolist(), found[starts, 1].tolist(), np.maximum(0, found[starts, 2] - pad).tolist(), (found[ends, 2] + length + pad).tolist(), strict=True))
 
 
-def leaks_of(block: Block, numbering: Numbering, texts: list[str], least: float) -> list[tuple[int, int, float, int, int, int]]:
+def leaks_of(block: Block, texts: list[str], least: float) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, start, end, places): the leaks in some texts; start and end in code points."""
-    raw = [np.array(list(map(numbering.__getitem__, t.lower().split())), np.int64) for t in texts]
-    each = [x[x >= 0] for x in raw]
+    each = [numbers_of(t, block.vocabulary) for t in texts]
     first = np.cumsum([0, *(len(x) for x in each)])
     document = np.repeat(np.arange(len(texts)), np.diff(first))
     spots = _windows(block, np.concatenate([np.zeros(0, np.int64), *each]), document, first)
@@ -192,31 +186,26 @@ def leaks_of(block: Block, numbering: Numbering, texts: list[str], least: float)
     for (d, i), (share, a, e, places) in sorted(best.items()):
         back = each[d][a : e + 1][::-1]
         _, begin = align([block.items[i][::-1]], [back])
-        spans = [m.span() for m, x in zip(re.finditer(r"\S+", texts[d]), raw[d], strict=False) if x >= 0]
-        start = e - int(begin[0])
-        out.append((d, i, share, spans[start][0] if start < len(spans) else 0, spans[e][1] if e < len(spans) else len(texts[d]), places))
+        spans = word_spans(texts[d])
+        out.append((d, i, share, spans[e - int(begin[0])][0], spans[e][1], places))
     return out
 
 
-def _count(vocabulary: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbering, counts, total = Numbering(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
+def _count(vocabulary: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(len(vocabulary) + 1, np.int64)
     for batch in common.slices(batches, "text"):
         for text in batch.column(0).to_pylist():
-            numbers = np.array(list(map(numbering.__getitem__, text.lower().split())), np.int64)
-            numbers = numbers[numbers >= 0]
-            total += len(numbers)
-            counts += np.bincount(numbers, minlength=len(counts))
-    counts[0] = total
+            counts += np.bincount(numbers_of(text, vocabulary), minlength=len(counts))
+    counts[0] = counts.sum()
     kinds = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts[kinds])], names=["word", "n"])
 
 
 def _scan(block: Block, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("places", pa.int64())])
-    numbering = Numbering(block.vocabulary)
     for batch in common.slices(batches, "text", 2 << 20):
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        if rows := leaks_of(block, numbering, texts, least):
+        if rows := leaks_of(block, texts, least):
             values = list(zip(*((doc_ids[d], block.item_ids[i], *rest) for d, i, *rest in rows), strict=True))
             yield common.one_batch(schema, dict(zip(schema.names, values, strict=True)))
 
