@@ -68,11 +68,10 @@ def assign(lengths: list[int], rooms: list[int]) -> list[tuple[int, int, int, in
     return pieces
 
 
-def pack(ids: list[bytes], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int, float]]:
-    """(document, start, length, sequence, offset, tokens of the sequence, cost of the piece) for ids as bytes of ``<u2``."""
+def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int, float]]:
+    """(document, start, length, sequence, offset, tokens of the sequence, cost of the piece) for documents of that many tokens."""
     whole, rests, owners = [], [], []
-    for d, x in enumerate(ids):
-        n = len(x) // 2
+    for d, n in enumerate(lengths):
         full = n // capacity
         whole += [(d, k * capacity) for k in range(full)]
         if n % capacity:
@@ -89,17 +88,17 @@ def pack(ids: list[bytes], capacity: int = CAPACITY) -> list[tuple[int, int, int
 
 
 def _pieces(path: str, end_id: int, capacity: int, group_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, end = tokens.encoder(path), np.array([end_id], "<u2").tobytes()
+    encoder = tokens.encoder(path)
     schema = pa.schema([(f.split()[0], pa.float64() if f.endswith("double") else pa.int64()) for f in PIECE_SCHEMA.split(", ")])
     names: list = []
-    ids: list[bytes] = []
+    ids: list[np.ndarray] = []
     held = 0
     first: int | None = None
 
     def close() -> pa.RecordBatch:
         nonlocal first
-        rows = pack(ids, capacity)
-        wide = [np.frombuffer(x, "<u2").astype("<u4") for x in ids]
+        rows = pack(list(map(len, ids)), capacity)
+        wide = [x.astype("<u4") for x in ids]
         batch = common.one_batch(schema, {
             "doc_id": [names[r[0]] for r in rows], "start": [r[1] for r in rows], "length": [r[2] for r in rows],
             "ids_crc32": [zlib.crc32(wide[r[0]][r[1] : r[1] + r[2]]) for r in rows], "doc_tokens": [len(wide[r[0]]) for r in rows],
@@ -108,14 +107,13 @@ def _pieces(path: str, end_id: int, capacity: int, group_tokens: int, batches: I
         first += 1 + max(r[3] for r in rows)
         return batch
 
-    for batch in common.slices(batches, "text"):
-        doc_ids, texts, parts = (batch.column(i).to_pylist() for i in range(3))
+    for batch in common.slices(batches, "text", tokens.BATCH_BYTES):
         if first is None:
-            first = parts[0] << 33  # sequence ids of other partitions lie apart
-        for name, coded in zip(doc_ids, encoder.encode(texts), strict=True):
+            first = batch.column(2)[0].as_py() << 33  # sequence ids of other partitions lie apart
+        for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
             names.append(name)
-            ids.append(coded + end)
-            held += len(coded) // 2 + 1
+            ids.append(np.append(coded, np.array(end_id, "<u2")))
+            held += len(coded) + 1
             if held >= group_tokens:
                 yield close()
                 names, ids, held = [], [], 0

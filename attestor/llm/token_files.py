@@ -110,13 +110,13 @@ class EliasFano:
         return (high << np.uint64(self.low) | low).astype(np.int64)
 
 
-def encode_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """doc_ids ascending, nulls first; ids of each document as bytes of ``<u2``."""
-    ends = np.cumsum([0, *(len(x) // 2 for x in ids)])
+def encode_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """doc_ids ascending, nulls first; ids of each document as ``<u2``."""
+    ends = np.cumsum([0, *map(len, ids)])
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     least = int(known[0]) if len(known) else 0
     head = struct.pack("<QQQQq", len(ids), int(ends[-1]), len(doc_ids) - len(known), 0, least)
-    return MAGIC + head + EliasFano.encode(ends) + EliasFano.encode((known - least).astype(np.uint64)) + b"".join(ids)
+    return MAGIC + head + EliasFano.encode(ends) + EliasFano.encode((known - least).astype(np.uint64)) + np.concatenate(ids).tobytes()
 
 
 class Block:
@@ -138,23 +138,22 @@ class Block:
 
 
 def _blocks(path: str, end_id: int, block_ids: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, end = tokens.encoder(path), np.array([end_id], "<u2").tobytes()
+    encoder = tokens.encoder(path)
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
     names: list = []
-    ids: list[bytes] = []
+    ids: list[np.ndarray] = []
     held = number = 0
     part = 0
 
     def close() -> pa.RecordBatch:
         return common.one_batch(schema, {"part": [part], "block": [number], "n_docs": [len(ids)], "n_ids": [held], "data": [encode_block(names, ids)]})
 
-    for batch in common.slices(batches, "text"):
-        doc_ids, texts, parts = (batch.column(i).to_pylist() for i in range(3))
-        part = parts[0]
-        for name, coded in zip(doc_ids, encoder.encode(texts), strict=True):
+    for batch in common.slices(batches, "text", tokens.BATCH_BYTES):
+        part = batch.column(2)[0].as_py()
+        for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
             names.append(name)
-            ids.append(coded + end)
-            held += len(coded) // 2 + 1
+            ids.append(np.append(coded, np.array(end_id, "<u2")))
+            held += len(coded) + 1
             if held >= block_ids:
                 yield close()
                 names, ids, held, number = [], [], 0, number + 1

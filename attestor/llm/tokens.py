@@ -1,23 +1,35 @@
 """Whole-text encoding with a public tokenizer file, with a memo for repeated words.
 
-Both vocabularies used here cut every text at a space that follows a character which is not
-white space, so a text is the sequence of its space-led chunks and the ids of a chunk do not depend
-on its neighbours.  Texts for which that does not hold (special-token strings; for byte-level files
-white space before a space) are encoded whole.  Ids are kept as little-endian unsigned 16 bit.
+Both kinds of vocabulary used here cut every text at a space that follows a character which is not
+white space, so a text is the sequence of its chunks between spaces and the ids of a chunk do not
+depend on its neighbours; nor do those of ASCII punctuation after letters.  Chunks that the memo
+lacks are encoded together, as pretokenized words; words of Latin letters go to the file's BPE model
+directly, as nothing is left to normalize or to cut in them.  Texts for which this does not hold
+(special-token strings; in byte-level files white space before a space) are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 from functools import cache
+from string import punctuation
 
 import numpy as np
 
 #: Chunks that one Python worker remembers, and the longest of them in characters.
 MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 48
+#: Chunks that are encoded together; bytes of text that a caller had best pass at once.
+TOGETHER, BATCH_BYTES = 1024, 1 << 20
+#: Letters before this one need no normalization but lower case.
+LATIN_END = "\u0130"
 
-_SPACE_PAIR = re.compile(r"\s ")
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def vocabulary_path(name: str) -> str:
@@ -27,7 +39,7 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """``encode(texts)`` gives the ids of every text as bytes of ``<u2``."""
+    """``encode(texts)`` gives the ids of every text as an array of little-endian unsigned 16 bit."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,50 +48,99 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.lead = " " if "ByteLevel" in str(self.tokenizer.pre_tokenizer)[:9] else ""
+        self.byte_level = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel")
+        self.lead = " " if self.byte_level else ""
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tails: dict[str, bytes] = {}
+        self.bare, self.letters = Tokenizer(self.tokenizer.model), byte_letters()
+        self.border = np.zeros(1 << 16, bool)  # ids that begin a word with its space, or that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.border[i] = token.startswith(self.letters[32]) if self.byte_level else token.endswith("</w>")
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def apart(self, text: str) -> bool:
-        if any(m in text for m in self.marks):
+    def apart(self, chunk: str) -> bool:
+        """Whether a text with this chunk may be cut at spaces."""
+        if self.byte_level and (not chunk or chunk[-1].isspace()):
             return False
-        return not (self.lead and ("  " in text or _SPACE_PAIR.search(text)))
-
-    def learn(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode([self.lead + c for c in chunks], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u2").tobytes()
-        words = np.array([-1 if w is None else w for w in found.word_ids])
-        cuts = (np.searchsorted(words, np.arange(len(chunks) + 1)) * 2).tolist()
-        for i, chunk in enumerate(chunks):
-            self.memo[chunk] = ids[cuts[i] : cuts[i + 1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        return not ("<" in chunk and any(m in chunk for m in self.marks))
+
+    def learn(self, chunks: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of each chunk by itself."""
+        found: dict[str, bytes] = {}
+        simple = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) < LATIN_END)] if lead or not self.byte_level else []
+        for first in range(0, len(simple), TOGETHER):
+            some = simple[first : first + TOGETHER]
+            found.update(zip(some, self.letters_only(some), strict=True))
+        rest = [c for c in chunks if c not in found]
+        for first in range(0, len(rest), TOGETHER):
+            some = rest[first : first + TOGETHER]
+            coded = self.tokenizer.encode([lead + c for c in some], is_pretokenized=True, add_special_tokens=False)
+            words = np.array(coded.word_ids, np.int64)
+            cuts = (2 * np.searchsorted(words, np.arange(len(some) + 1))).tolist()
+            buffer = np.array(coded.ids, "<u2").tobytes()
+            found.update(zip(some, map(buffer.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        return found
+
+    def letters_only(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters (with a space before, in byte-level files)."""
+        text = "\n".join([self.lead + w for w in words] if self.lead else words)
+        text = text if self.byte_level else text.lower()
+        mapped = text.encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        (coded,) = self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, "<u2")
+        at = np.flatnonzero(self.border[ids])
+        cuts = [*(2 * at).tolist(), 2 * len(ids)] if self.byte_level else [0, *(2 * at + 2).tolist()]
+        buffer = ids.tobytes()
+        return list(map(buffer.__getitem__, map(slice, cuts, cuts[1:])))
+
+    def fill(self, wanted: set[str]) -> None:
+        """Put chunks into the memo; the punctuation after a word is encoded by itself."""
+        memo, tails = self.memo, self.tails
+        ended = [(c, base) for c in wanted if (base := c.rstrip(punctuation)) != c and base.isalpha()]
+        bases = wanted.difference([c for c, _ in ended])
+        bases.update([base for _, base in ended])
+        memo.update(self.learn(list(bases.difference(memo)), self.lead))
+        for c, base in ended:
+            tail = c[len(base) :]
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                tails[tail] = self.whole(tail)
+            memo[c] = memo[base] + tails[tail]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        gc.disable()  # very many strings and no cycles are made here
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.split(" ") for t in texts]
+        # In byte-level files the first chunk has no space before it.
+        heads = [chunks.pop(0) if self.byte_level else "" for chunks in split]
+        wanted: set[str] = set()
+        for chunks in split:
+            wanted.update(chunks)
         if len(self.memo) > MEMO_CHUNKS:
             self.memo.clear()
-        split = [t.split(" ") if self.apart(t) else None for t in texts]
-        need: set[str] = set()
-        for chunks in split:
-            if chunks:
-                need.update(chunks[1:] if self.lead else chunks)
-        need.difference_update(self.memo)
-        if need:
-            self.learn(sorted(need))
+        wanted = wanted.difference(self.memo)
+        whole = {c for c in wanted if not self.apart(c)}
+        self.fill(wanted - whole if whole else wanted)
+        first = self.learn(list({h for h in heads if h and self.apart(h)}), "")
+        first[""] = b""
         out = []
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
+        for text, head, chunks in zip(texts, heads, split, strict=True):
+            if head not in first or whole and not whole.isdisjoint(chunks):
                 out.append(self.whole(text))
-            elif self.lead:
-                first = self.whole(chunks[0]) if chunks[0] else b""
-                out.append(first + b"".join(map(self.memo.__getitem__, chunks[1:])))
             else:
-                out.append(b"".join(map(self.memo.__getitem__, chunks)))
-        for chunk in need:
-            if len(chunk) > MEMO_CHARS:
-                del self.memo[chunk]
-        return out
+                out.append(first[head] + b"".join(map(self.memo.__getitem__, chunks)))
+        for c in [c for c in wanted if len(c) > MEMO_CHARS]:
+            self.memo.pop(c, None)
+        return [np.frombuffer(x, "<u2") for x in out]
 
 
 @cache
