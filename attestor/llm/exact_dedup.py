@@ -191,3 +191,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     packed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     return find_copies(packed, columns=("_row",)).filter("kept").select("_own__row.*")
+
+
+COPIES_SQL = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))
+"""

@@ -60,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_cost_packing, op7_quality_gbt, op8_secret_markov, op9_exact_dedup, op10_simhash_pivots,
     )
 }
-ORACLES: dict[str, str] = {"op1_perspective_rotation": perspectives.ROTATE_SQL}
+ORACLES: dict[str, str] = {"op1_perspective_rotation": perspectives.ROTATE_SQL, "op9_exact_dedup": exact_dedup.COPIES_SQL}
