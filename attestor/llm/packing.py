@@ -110,7 +110,7 @@ def _pieces(path: str, end_id: int, capacity: int, group_tokens: int, batches: I
     for batch in common.slices(batches, "text", tokens.BATCH_BYTES):
         if first is None:
             first = batch.column(2)[0].as_py() << 33  # sequence ids of other partitions lie apart
-        for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
             names.append(name)
             ids.append(np.append(coded, np.array(end_id, "<u2")))
             held += len(coded) + 1

@@ -150,7 +150,7 @@ def _blocks(path: str, end_id: int, block_ids: int, batches: Iterator[pa.RecordB
 
     for batch in common.slices(batches, "text", tokens.BATCH_BYTES):
         part = batch.column(2)[0].as_py()
-        for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
             names.append(name)
             ids.append(np.append(coded, np.array(end_id, "<u2")))
             held += len(coded) + 1

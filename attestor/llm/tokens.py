@@ -2,8 +2,8 @@
 
 Both kinds of vocabulary used here cut every text at a space that follows a character which is not
 white space, so a text is the sequence of its chunks between spaces and the ids of a chunk do not
-depend on its neighbours; nor do those of ASCII punctuation after letters.  Chunks that the memo
-lacks are encoded together, as pretokenized words; words of Latin letters go to the file's BPE model
+depend on its neighbours; nor do those of ASCII punctuation after letters.  Arrow cuts and numbers the
+chunks of a batch, and numpy puts their ids in place.  Distinct chunks that the memo lacks are encoded together, as pretokenized words; words of Latin letters go to the file's BPE model
 directly, as nothing is left to normalize or to cut in them.  Texts for which this does not hold
 (special-token strings; in byte-level files white space before a space) are encoded whole.
 """
@@ -16,11 +16,13 @@ from functools import cache
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that one Python worker remembers, and the longest of them in characters.
-MEMO_CHUNKS, MEMO_CHARS = 1_000_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 1_200_000, 48
 #: Chunks that are encoded together; bytes of text that a caller had best pass at once.
-TOGETHER, BATCH_BYTES = 1024, 1 << 20
+TOGETHER, BATCH_BYTES = 1024, 12 << 20
 #: Letters before this one need no normalization but lower case.
 LATIN_END = "\u0130"
 
@@ -70,13 +72,8 @@ class Encoder:
     def learn(self, chunks: list[str], lead: str) -> dict[str, bytes]:
         """Ids of each chunk by itself."""
         found: dict[str, bytes] = {}
-        simple = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) < LATIN_END)] if lead or not self.byte_level else []
-        for first in range(0, len(simple), TOGETHER):
-            some = simple[first : first + TOGETHER]
-            found.update(zip(some, self.letters_only(some), strict=True))
-        rest = [c for c in chunks if c not in found]
-        for first in range(0, len(rest), TOGETHER):
-            some = rest[first : first + TOGETHER]
+        for first in range(0, len(chunks), TOGETHER):
+            some = chunks[first : first + TOGETHER]
             coded = self.tokenizer.encode([lead + c for c in some], is_pretokenized=True, add_special_tokens=False)
             words = np.array(coded.word_ids, np.int64)
             cuts = (2 * np.searchsorted(words, np.arange(len(some) + 1))).tolist()
@@ -84,6 +81,14 @@ class Encoder:
             found.update(zip(some, map(buffer.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
         return found
 
+    def learn_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of Latin letters (with a space before, in byte-level files)."""
+        found: dict[str, bytes] = {}
+        for first in range(0, len(words), TOGETHER):
+            some = words[first : first + TOGETHER]
+            found.update(zip(some, self.letters_only(some), strict=True))
+        return found
+
     def letters_only(self, words: list[str]) -> list[bytes]:
         """Ids of words of Latin letters (with a space before, in byte-level files)."""
         text = "\n".join([self.lead + w for w in words] if self.lead else words)
@@ -96,51 +101,76 @@ class Encoder:
         buffer = ids.tobytes()
         return list(map(buffer.__getitem__, map(slice, cuts, cuts[1:])))
 
-    def fill(self, wanted: set[str]) -> None:
-        """Put chunks into the memo; the punctuation after a word is encoded by itself."""
+    def fill(self, wanted: list[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Ids of chunks that the memo lacks, the punctuation after a word encoded by itself; and chunks that forbid cutting."""
         memo, tails = self.memo, self.tails
-        ended = [(c, base) for c in wanted if (base := c.rstrip(punctuation)) != c and base.isalpha()]
-        bases = wanted.difference([c for c, _ in ended])
-        bases.update([base for _, base in ended])
-        memo.update(self.learn(list(bases.difference(memo)), self.lead))
+        words, ended, others, odd = [], [], [], set()
+        for c in wanted:
+            base = c if c.isalpha() else c.rstrip(punctuation)
+            if not base.isalpha() or len(c) > MEMO_CHARS or not base.isascii() and max(base) >= LATIN_END:
+                (others.append if self.apart(c) else odd.add)(c)
+            elif base is c:
+                words.append(c)
+            else:
+                ended.append((c, base))
+        found = self.learn_words(words)
+        found.update(self.learn_words(list({base for _, base in ended if base not in found and base not in memo})))
         for c, base in ended:
             tail = c[len(base) :]
             if tail not in tails:
                 if len(tails) > 10_000:
                     tails.clear()
                 tails[tail] = self.whole(tail)
-            memo[c] = memo[base] + tails[tail]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+            found[c] = (found.get(base) or memo[base]) + tails[tail]
+        found.update(self.learn(others, self.lead))
+        if len(memo) > MEMO_CHUNKS:
+            memo.clear()
+        memo.update(found)
+        for c in [c for c in others if len(c) > MEMO_CHARS]:
+            del memo[c]
+        return found, odd
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array without nulls."""
+        if not len(texts):
+            return []
         gc.disable()  # very many strings and no cycles are made here
         try:
             return self._encode(texts)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        # In byte-level files the first chunk has no space before it.
-        heads = [chunks.pop(0) if self.byte_level else "" for chunks in split]
-        wanted: set[str] = set()
-        for chunks in split:
-            wanted.update(chunks)
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        wanted = wanted.difference(self.memo)
-        whole = {c for c in wanted if not self.apart(c)}
-        self.fill(wanted - whole if whole else wanted)
-        first = self.learn(list({h for h in heads if h and self.apart(h)}), "")
-        first[""] = b""
-        out = []
-        for text, head, chunks in zip(texts, heads, split, strict=True):
-            if head not in first or whole and not whole.isdisjoint(chunks):
-                out.append(self.whole(text))
-            else:
-                out.append(first[head] + b"".join(map(self.memo.__getitem__, chunks)))
-        for c in [c for c in wanted if len(c) > MEMO_CHARS]:
-            self.memo.pop(c, None)
-        return [np.frombuffer(x, "<u2") for x in out]
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        flat = split.values.dictionary_encode()
+        place, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        coded = list(map(self.memo.get, names))
+        gaps = [i for i, ids in enumerate(coded) if ids is None]
+        found, odd = self.fill([names[i] for i in gaps])
+        for i in gaps:
+            coded[i] = found.get(names[i], b"")
+        apart = np.ones(len(texts), bool)
+        firsts = bounds[:-1]
+        if odd:
+            bad = np.isin(place, [i for i in gaps if names[i] in odd])
+            if self.byte_level:
+                bad[firsts] = False
+            apart[np.searchsorted(bounds, np.flatnonzero(bad), side="right") - 1] = False
+        if self.byte_level:  # the first chunk has no space before it
+            heads = [names[i] for i in place[firsts].tolist()]
+            first = self.learn(list({h for h in heads if h and self.apart(h)}), "") | {"": b""}
+            number = {h: len(coded) + i for i, h in enumerate(first)}
+            coded += first.values()
+            place[firsts] = [number.get(h, 0) for h in heads]
+            apart &= [h in first for h in heads]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+        starts, length = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.cumsum(length)
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        ids = np.frombuffer(b"".join(coded), "<u2")[np.arange(ends[-1], dtype=kind) + np.repeat((starts[place] - ends + length).astype(kind), length)]
+        cuts = np.concatenate(([0], ends))[bounds].tolist()
+        return [ids[a:b] if cut else np.frombuffer(self.whole(text.as_py()), "<u2") for a, b, cut, text in zip(cuts[:-1], cuts[1:], apart.tolist(), texts, strict=True)]
 
 
 @cache

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,7 @@ def test_memo_gives_the_ids_of_whole_texts(name, documents):
     plain, own = Tokenizer.from_file(path), tokens.Encoder(path)
     texts = WEIRD + [r.text for r in documents.collect()]
     for _ in range(2):  # with the memo empty, then filled
-        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -25,7 +26,7 @@ def test_memo_gives_the_ids_of_whole_texts(name, documents):
 def test_memo_on_any_text(texts):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         own = tokens.encoder(tokens.vocabulary_path(name))
-        assert [x.tolist() for x in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=80, deadline=None)
