@@ -1,4 +1,4 @@
-"""Python functions of this package on executors that do not have it installed."""
+"""Python functions of this package on executors that do not have it installed; rows on all cores."""
 
 from __future__ import annotations
 
@@ -31,3 +31,13 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     """``mapInArrow`` with a function of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table of fewer partitions than cores over all cores.
+
+    A file of one row group is read by one task; what follows would run on one core.  Inputs of more
+    partitions, and so all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -20,7 +20,7 @@ STOP_WORDS = tuple(
 
 def words(text: Column) -> Column:
     """Words between white space, as ``str.split()`` gives them."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def normalize_space(text: Column) -> Column:

@@ -40,11 +40,13 @@ def tfidf(passages: DataFrame, questions: DataFrame, key: Sequence[str], query:
     n = passages.agg(F.count("*").alias("_n"))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
-    weighted = own.join(idf, "term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # Norms need every term; both sides lie by term already, and a hash join spares sorting them.
+    weighted = own.join(idf.hint("shuffle_hash"), "term").select(*key, (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    wanted = asked.join(idf, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("wq"))
+    # Products need the questions' terms only.
+    wanted = asked.join(idf, "term").select(query, "term", "idf", (F.col("tf") * F.col("idf")).alias("wq"))
     lengths = wanted.groupBy(query).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("normq"))
-    dots = weighted.join(wanted, "term").groupBy(query, *key).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    dots = own.join(wanted, "term").groupBy(query, *key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("wq")).alias("dot"))
     scored = dots.join(norms, list(key)).join(lengths, query)
     return scored.select(query, *key, (F.col("dot") / (F.col("norm") * F.col("normq"))).alias("score")).filter("score > 0")
 

@@ -34,9 +34,10 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     """item_id, passage_id, place in artifact order, score, rank."""
-    own = passages(spark, sf_dir)
-    scored = R.tfidf(own, questions(spark, sf_dir), ["passage_id", *ORDER], "item_id")
-    return R.ranked(scored, limit, "item_id", "score", ORDER)
+    # Numbers travel through the shuffles; the passage's id is put together at the end.
+    scored = R.tfidf(passages(spark, sf_dir).select(*ORDER, "text"), questions(spark, sf_dir), ORDER, "item_id")
+    name = F.concat(F.lit("d"), "doc_id", F.lit(":p"), "paragraph", F.lit(":w"), "word_offset")
+    return R.ranked(scored, limit, "item_id", "score", ORDER).withColumn("passage_id", name)
 
 
 PASSAGES_SQL = r"""
