@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -34,16 +35,21 @@ def receipt(text: Column) -> Column:
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-cased word tokens of two characters or more, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
+    """Lower-cased word tokens of two characters or more, without stop words.
 
+    No lambda is used here or in ``term_pairs``: Spark then sees that two uses of the terms are one exchange.
+    """
+    lowered = F.lower(text)
+    if stop_words:
+        letter = TOKEN.removesuffix("{2,}")
+        lowered = F.regexp_replace(lowered, f"(?<!{letter})(?:{'|'.join(map(re.escape, stop_words))})(?!{letter})", "")
+    return F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
 
-def terms(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Tokens, and pairs of tokens that stand together once stop words are gone."""
+
+def term_pairs(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """array<struct<a, b>>: each token and the one that follows it once stop words are gone (null at the end)."""
     own = tokens(text, stop_words)
-    pairs = F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(own, F.slice(pairs, 1, F.greatest(F.size(own) - 1, F.lit(0))))
+    return F.arrays_zip(own.alias("a"), F.slice(own, 2, F.greatest(F.size(own), F.lit(1))).alias("b"))
 
 
 def _count(text: Column, pattern: str) -> Column:

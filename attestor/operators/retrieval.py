@@ -25,7 +25,10 @@ def ranked(hits: DataFrame, limit: int, query: str, score: str, order: Sequence[
 
 
 def term_counts(rows: DataFrame, keys: Sequence[str], text: str = "text", stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
-    return rows.select(*keys, F.explode(T.terms(F.col(text), stop_words)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """How often each row has each token, and each pair of neighbouring tokens."""
+    pairs = rows.select(*keys, F.explode(T.term_pairs(F.col(text), stop_words)).alias("p"))
+    terms = pairs.select(*keys, F.explode(F.array("p.a", F.concat("p.a", F.lit(" "), "p.b"))).alias("term"))
+    return terms.filter("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(passages: DataFrame, questions: DataFrame, key: Sequence[str], query: str, stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
@@ -38,16 +41,20 @@ def tfidf(passages: DataFrame, questions: DataFrame, key: Sequence[str], query:
     own = term_counts(passages, key, stop_words=stop_words)
     asked = term_counts(questions, [query], stop_words=stop_words)
     n = passages.agg(F.count("*").alias("_n"))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by tf keeps tf in this branch too: its exchange is then that of the weights below.
+    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
-    # Norms need every term; both sides lie by term already, and a hash join spares sorting them.
-    weighted = own.join(idf.hint("shuffle_hash"), "term").select(*key, (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # Products need the questions' terms only.
-    wanted = asked.join(idf, "term").select(query, "term", "idf", (F.col("tf") * F.col("idf")).alias("wq"))
+    # Norms need every term: both sides lie by term already, and a hash join spares sorting them.  The
+    # weights of the questions' terms are kept with the norm, so the counts are gone through once.
+    sought = asked.select("term").distinct().withColumn("_sought", F.lit(True))
+    weighted = own.join(idf.hint("shuffle_hash"), "term").join(sought, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    kept = F.collect_list(F.when(F.col("_sought"), F.struct("term", "w"))).alias("_kept")  # as many as a passage has terms
+    vectors = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), kept)
+    rows = vectors.select(*key, "norm", F.explode("_kept").alias("t")).select(*key, "norm", "t.term", "t.w")
+    wanted = asked.join(idf, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("wq"))
     lengths = wanted.groupBy(query).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("normq"))
-    dots = own.join(wanted, "term").groupBy(query, *key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("wq")).alias("dot"))
-    scored = dots.join(norms, list(key)).join(lengths, query)
+    dots = rows.join(wanted, "term").groupBy(query, *key, "norm").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    scored = dots.join(lengths, query)
     return scored.select(query, *key, (F.col("dot") / (F.col("norm") * F.col("normq"))).alias("score")).filter("score > 0")
 
 
