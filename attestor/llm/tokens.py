@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that one Python worker remembers, and the longest of them in characters.
-MEMO_CHUNKS, MEMO_CHARS = 1_200_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 900_000, 48
 #: Chunks that are encoded together; bytes of text that a caller had best pass at once.
-TOGETHER, BATCH_BYTES = 1024, 12 << 20
+TOGETHER, BATCH_BYTES = 1024, 10 << 20
 #: Letters before this one need no normalization but lower case.
 LATIN_END = "\u0130"
 
