@@ -162,8 +162,8 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, prototypes, rows.select("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, least: float) -> DataFrame:
-    """The documents whose language is known with a score of ``least`` or more; columns as they were."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents whose language is known, with a score of ``least`` or more; columns as they were."""
     prototypes = train(docs.select("text", "lang"))
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = predict(packed, prototypes, packed.select("row"))
