@@ -226,20 +226,35 @@ def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[Bloc
         yield Block(ids, items, vocabulary)
 
 
+def _seeded(block: Block, texts: DataFrame) -> None:
+    """Choose the block's seeds by the frequencies of its words in all texts."""
+    counted = common.map_batches(texts, partial(_count, block.vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = Counter(dict(counted.collect()))  # at most one row for each word of the block
+    block.seed(counts, counts.pop(0, 0))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, most_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and test item that leaks into it: score, span of the best place, number of places."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     found = None
     for block in blocks(benchmark, most_words):
-        counted = common.map_batches(rows.select("text"), partial(_count, block.vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = Counter(dict(counted.collect()))  # at most one row for each word of the block
-        block.seed(counts, counts.pop(0, 0))
+        _seeded(block, rows.select("text"))
         own = common.map_batches(rows, partial(_scan, block, least), LEAK_SCHEMA)
         found = own if found is None else found.unionAll(own)
     return found if found is not None else docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents into which no test item leaks, with all their columns; null doc_ids stay unless they leak."""
-    leaked = common.stored(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
+def _clean(block: Block, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.slices(batches, "_text", 2 << 20):
+        leaking = {d for d, *_ in leaks_of(block, batch.column(0).to_pylist(), least)}
+        yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)]))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, most_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents into which no test item leaks, with all their columns; each row is judged by its own text."""
+    kept = docs.select(common.text_of().alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    texts = kept.select(F.col("_text").alias("text"))
+    for block in blocks(benchmark, most_words):
+        _seeded(block, texts)
+        kept = common.map_batches(kept, partial(_clean, block, least), kept.schema)
+    return kept.select("_row.*")
