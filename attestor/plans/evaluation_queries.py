@@ -355,7 +355,7 @@ def run_pairs(spark, sf_dir):
 def ranking_stability(spark, sf_dir):
     from attestor.operators.retrieval import ranked
 
-    rows = table(spark, sf_dir, "events").filter("user_id < 40").withColumn("q", F.concat_ws("/", "event_type", F.col("user_id").cast("string")))
+    rows = table(spark, sf_dir, "events").withColumn("q", F.concat_ws("/", "event_type", F.col("user_id").cast("string")))
     top = ranked(rows, 3, "q", "value", ["event_id"])
     lists = top.groupBy("event_type", "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda r: r["event_id"].cast("string")), ",").alias("rankings"))
     return lists.groupBy("event_type").agg((F.count_distinct("rankings") == 1).alias("stable"))
