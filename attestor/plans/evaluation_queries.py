@@ -215,7 +215,7 @@ def bootstrap_delta(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select("lang", F.col("doc_id").alias("case_id"), (F.col("quality") - F.col("toxic")).cast("double").alias("delta"))
-    return paired_bootstrap(rows, "lang", samples=2000)
+    return paired_bootstrap(rows, "lang")
 
 
 # Answers: assistant turns; their passage is the turn before, the quote their first forty characters; judgments
