@@ -40,4 +40,4 @@ def spread(df: DataFrame) -> DataFrame:
     partitions, and so all large ones, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
