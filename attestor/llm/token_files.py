@@ -11,22 +11,26 @@ up to u is: n, u, low bits a value (unsigned 64 bit each), the low bits packed,
 (value i sets bit (value >> low) + i), and the position of every 256th set bit as unsigned 32 bit
 relative to the sample before, kept as a cumulative array.
 
-Blocks are rows of a Parquet table in the shared folder, ordered by doc_id: ``write_blocks`` makes
-them, ``read_documents`` reads them back, ``export_blocks`` copies them out as single files.
+Tasks write blocks as files ``PART-BLOCK-ATTEMPT.aef`` to a folder that all hosts share; a table (the
+manifest) names the files of the tasks that succeeded, so what a lost or repeated attempt left is never
+read.  Readers go from the manifest to the files.  ``Block`` reads the head and the two sequences of a file;
+where ids lie is asked of ``select``, and only they are then read.
 
 Defined cases: null text is empty (its document holds the end id only); rows with null doc_id come
-first; rows that repeat a doc_id are ordered by text; an empty table gives no blocks.
+first; rows that repeat a doc_id are ordered by XXH64 of the text, then the text; an empty table gives no blocks.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,10 @@ END_ID = 2
 #: Ids after which a block is closed (a document is never divided).
 BLOCK_IDS = 2_000_000
 
-BLOCK_SCHEMA = "part int, block int, n_docs long, n_ids long, data binary"
+#: Documents whose places are looked up together, and bytes of ids that are read at once (one document at least).
+READ_DOCS, READ_BYTES = 1024, 1 << 20
+
+BLOCK_SCHEMA = "part int, block int, n_docs long, n_ids long, path string"
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -48,21 +55,22 @@ def _pack(values: np.ndarray, width: int) -> bytes:
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
+def _sizes(n: int, top: int, low: int) -> tuple[int, int, int]:
+    """Bytes of the lower bits, of the upper bits, and of the samples."""
+    return (n * low + 7) // 8, (n + (top >> low) + 8) // 8, 4 * -(-n // SAMPLE)
+
+
 class EliasFano:
     """A sequence of integers that never falls, all 0 or more, in its encoded form."""
 
     def __init__(self, buffer: memoryview, at: int = 0):
         self.n, self.top, self.low = struct.unpack_from("<QQQ", buffer, at)
+        lower, upper, samples = _sizes(self.n, self.top, self.low)
         at += 24
-        size = (self.n * self.low + 7) // 8
-        self.lower = np.frombuffer(buffer, np.uint8, size, at)
-        at += size
-        size = (self.n + (self.top >> self.low) + 8) // 8
-        self.upper = np.frombuffer(buffer, np.uint8, size, at)
-        at += size
-        count = -(-self.n // SAMPLE)
-        self.samples = np.frombuffer(buffer, "<u4", count, at)
-        self.end = at + 4 * count
+        self.lower = np.frombuffer(buffer, np.uint8, lower, at)
+        self.upper = np.frombuffer(buffer, np.uint8, upper, at + lower)
+        self.samples = np.frombuffer(buffer, "<u4", samples // 4, at + lower + upper)
+        self.end = at + lower + upper + samples
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -99,15 +107,27 @@ class EliasFano:
         word = int.from_bytes(self.lower[first : first + 9].tobytes(), "little")
         return word >> shift & (1 << self.low) - 1
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
-        if not self.low or not self.n:
-            return (high << np.uint64(self.low)).astype(np.int64)
-        bits = np.unpackbits(self.lower, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        low = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
-        return (high << np.uint64(self.low) | low).astype(np.int64)
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """The values at places first to last - 1: one scan of the upper bits from the sample before ``first``."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        sample = first // SAMPLE
+        position = int(self.samples[sample])
+        after = -(-last // SAMPLE)
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.upper)
+        bits = np.unpackbits(self.upper[position // 8 : stop], bitorder="little")
+        bits[: position % 8] = 0  # ones before the sample
+        ones = np.flatnonzero(bits)[first - sample * SAMPLE : last - sample * SAMPLE] + position // 8 * 8
+        high = (ones - np.arange(first, last)).astype(np.uint64)
+        if not self.low:
+            return high.astype(np.int64)
+        at = np.arange(first, last) * self.low
+        words = np.concatenate((self.lower[at[0] // 8 : (int(at[-1]) + self.low + 7) // 8], np.zeros(8, np.uint8)))
+        octets = (at // 8 - at[0] // 8)[:, None] + np.arange(8)
+        word = np.ascontiguousarray(words[octets]).view("<u8")[:, 0] >> (at % 8).astype(np.uint64)
+        return (high << np.uint64(self.low) | word & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
 
 def encode_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -120,35 +140,58 @@ def encode_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
 
 
 class Block:
-    """A block as read from its bytes."""
+    """A block in an open file: its head and sequences are read at once, ids only as they are asked for."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, file):
+        self.file = file
+        head = file.read(44)
+        if head[:4] != MAGIC:
             raise ValueError("not a block of token ids")
-        view = memoryview(data)
-        self.n_docs, self.n_ids, self.n_null, self.base, self.least = struct.unpack_from("<QQQQq", view, 4)
-        self.starts = EliasFano(view, 44)
-        self.names = EliasFano(view, self.starts.end)
-        self.ids = np.frombuffer(view, "<u2", self.n_ids, self.names.end)
+        self.n_docs, self.n_ids, self.n_null, self.base, self.least = struct.unpack_from("<QQQQq", head, 4)
+        self.starts = self._sequence()
+        self.names = self._sequence()
+        self.first = file.tell()
+
+    def _sequence(self) -> EliasFano:
+        head = self.file.read(24)
+        return EliasFano(memoryview(head + self.file.read(sum(_sizes(*struct.unpack("<QQQ", head))))))
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        self.file.seek(self.first + 2 * start)
+        return np.frombuffer(self.file.read(2 * (stop - start)), "<u2")
 
     def document(self, i: int) -> tuple[int | None, np.ndarray]:
         """doc_id and ids of document i, through select."""
         name = None if i < self.n_null else self.names.select(i - self.n_null) + self.least
-        return name, self.ids[self.starts.select(i) : self.starts.select(i + 1)]
+        return name, self.ids(self.starts.select(i), self.starts.select(i + 1))
 
+    def documents(self, first: int, last: int) -> tuple[list[int | None], np.ndarray]:
+        """doc_ids of documents first to last - 1, and where they start and the last ends."""
+        known = self.names.select_range(max(first, self.n_null) - self.n_null, max(last, self.n_null) - self.n_null) + self.least
+        return [None] * (last - first - len(known)) + known.tolist(), self.starts.select_range(first, last + 1)
 
-def _blocks(path: str, end_id: int, block_ids: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path)
+
+
+def _blocks(path: str, end_id: int, block_ids: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = tokens.encoder(path)
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("path", pa.string())])
+    store, inside = _file_system(folder)
+    attempt = uuid.uuid4().hex
     names: list = []
     ids: list[np.ndarray] = []
     held = number = 0
     part = 0
 
     def close() -> pa.RecordBatch:
-        return common.one_batch(schema, {"part": [part], "block": [number], "n_docs": [len(ids)], "n_ids": [held], "data": [encode_block(names, ids)]})
+        name = f"{part:06d}-{number:06d}-{attempt}.aef"
+        with store.open_output_stream(f"{inside}/{name}") as out:
+            out.write(encode_block(names, ids))
+        return common.one_batch(schema, {"part": [part], "block": [number], "n_docs": [len(ids)], "n_ids": [held], "path": [f"{folder}/{name}"]})
 
-    for batch in common.slices(batches, "text", tokens.BATCH_BYTES):
+    for batch in common.slices(batches, "text", tokens.BATCH_BYTES, trim=False):
         part = batch.column(2)[0].as_py()
         for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
             names.append(name)
@@ -161,37 +204,47 @@ def _blocks(path: str, end_id: int, block_ids: int, batches: Iterator[pa.RecordB
         yield close()
 
 
-def write_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Encode every document and write the blocks to the shared folder; gives the table of blocks.
+def write_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, folder: str | None = None) -> DataFrame:
+    """Encode every document and write the blocks as files of ``folder`` (a URI; else one in the shared folder); gives the manifest.
 
-    The texts are dealt by ranges of doc_id (one shuffle), so that the order of blocks by
-    (part, block) is the order of doc_id.
+    The texts are dealt by ranges of (doc_id, text) in one shuffle, so that the order of files by (part,
+    block) is the order of doc_id and rows that repeat a doc_id are dealt over parts.
     """
     path = path or tokens.vocabulary_path("byte_bpe_50k.json")
-    n = common.partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt = dealt.withColumn("part", F.spark_partition_id())
-    return common.stored(common.map_batches(dealt, partial(_blocks, path, end_id, block_ids), BLOCK_SCHEMA), "token-blocks")
+    spark = docs.sparkSession
+    folder = folder or f"{common.own_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    store, inside = _file_system(folder)
+    store.create_dir(inside, recursive=True)
+    n = common.partitions(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), F.xxhash64(common.text_of()).alias("h"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    return common.stored(common.map_batches(dealt, partial(_blocks, path, end_id, block_ids, folder), BLOCK_SCHEMA), "token-manifest")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
-        for part, number, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-            block = Block(data.as_py())
-            starts = block.starts.all()
-            wide = block.ids.astype("<u4")
-            names = [None] * block.n_null + (block.names.all() + block.least).tolist()
-            crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            n = len(crc)
-            yield common.one_batch(schema, {"part": [part.as_py()] * n, "block": [number.as_py()] * n, "doc_id": names, "within": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc})
+        for part, number, path in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            store, inside = _file_system(path)
+            with store.open_input_file(inside) as file:
+                block = Block(file)
+                for first in range(0, block.n_docs, READ_DOCS):
+                    names, starts = block.documents(first, min(first + READ_DOCS, block.n_docs))
+                    n, crc, at = len(names), [], 0
+                    while at < n:  # some documents at once, READ_BYTES of ids or one document
+                        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + READ_BYTES // 2, side="right")) - 1)
+                        wide = block.ids(int(starts[at]), int(starts[stop])).astype("<u4")
+                        cuts = (starts[at : stop + 1] - starts[at]).tolist()
+                        crc += [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                        at = stop
+                    yield common.one_batch(schema, {"part": [part] * n, "block": [number] * n, "doc_id": names, "within": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc})
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
-    """One row per document, read from the blocks: doc_id, start, n_tokens, ids_crc32.
+    """One row per document, read from the files of a manifest: doc_id, start, n_tokens, ids_crc32.
 
-    Only these few numbers are joined with the blocks' offsets, never the ids.
+    Only these few numbers are joined with the files' offsets, never the ids.
     """
     counts = blocks.select("part", "block", "n_ids")
     # A prefix sum over as many rows as blocks, in two steps: ranges of doc_id, then the blocks of each.
@@ -199,22 +252,10 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     before = by_part.selectExpr("part", "coalesce(sum(of_part) over (order by part rows between unbounded preceding and 1 preceding), 0) as before_part")
     within = counts.selectExpr("part", "block", "coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0) as before_block")
     offsets = within.join(before, "part").selectExpr("part", "block", "before_part + before_block as before")
-    rows = common.map_batches(blocks.select("part", "block", "data"), _documents, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = common.map_batches(blocks.select("part", "block", "path").repartition(common.partitions(blocks.sparkSession), "path"), _documents, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, ["part", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def export_blocks(blocks: DataFrame, folder: str) -> int:
-    """Write every block as a file ``part-block.aef`` of a folder that the driver reaches, one at a time; gives their number."""
-    from pathlib import Path
-
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    count = 0
-    for row in blocks.toLocalIterator():
-        Path(folder, f"{row.part:06d}-{row.block:06d}.aef").write_bytes(row.data)
-        count += 1
-    return count
-
-
 def token_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode, write, read back."""
     return read_documents(write_blocks(docs, path))
