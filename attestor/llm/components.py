@@ -19,25 +19,32 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("n"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step's links, and the table that they read."""
     both = links.union(links.select(F.col("v"), F.col("u"))).toDF("u", "v")
     low = common.stored(_least(both), "least")
-    return common.attach(both, low, ["u"], "n", "v").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    return common.attach(both, low, ["u"], "n", "v").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct(), low
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     low = common.stored(_least(down), "least")
     moved = common.attach(down, low, ["u"], "n", "v").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.union(low.select("u", F.col("least").alias("v"))).filter("u <> v").distinct()
+    return moved.union(low.select("u", F.col("least").alias("v"))).filter("u <> v").distinct(), low
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (two columns of long) that is not its own component's least node."""
+    """(node, component) for every node of ``links`` (two columns of long) that is not its own component's least node.
+
+    Only the last round's table is left in the shared folder.
+    """
     links = common.stored(links.toDF("u", "v").filter("u <> v").distinct(), "links")
     mark = None
     while True:
-        links = common.stored(_small_star(_large_star(links)), "links")
+        large, first = _large_star(links)
+        small, second = _small_star(large)
+        before, links = links, common.stored(small, "links")
+        common.discard(before, first, second)
         now = links.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).head()
         if now == mark:
             return links.toDF("node", "component")
