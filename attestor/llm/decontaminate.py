@@ -11,8 +11,14 @@ the item with the words around each group of seeds.  ``score`` is the best align
 of the item with itself; LEAST_SCORE or more is a leak, so copies with edited, dropped or added
 words are found.
 
-The benchmark is taken in blocks of BLOCK_WORDS words at most; each block goes to every task, and the
-documents are scanned for each block without a shuffle.
+An item of more than PIECE_WORDS words is aligned in pieces of that size; its score is the sum of its pieces'
+scores over that of the whole item with itself, its place reaches from the first piece found to the last.
+Alignments are made together for about TOGETHER cells a step, so that neither long items nor long documents
+take more memory.
+
+The benchmark is dealt into blocks of about BLOCK_WORDS words, files in the folder that all hosts share;
+tasks read them from there, BLOCKS_HELD at a time.  The documents are gone through twice, once to count the
+words of the blocks and once to find leaks, without a shuffle and however many blocks there are.
 
 Defined cases: null and empty texts and items match nothing; rows and items that repeat are reported
 each; a null doc_id or item_id is reported as null; empty tables give an empty result.
@@ -21,15 +27,18 @@ each; a null doc_id or item_id is reported as null; empty tables give an empty r
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial, reduce
+from functools import lru_cache, partial, reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +47,8 @@ from attestor.llm import common
 FEWEST_WORDS, MOST_WORDS, SPARE = 2, 8, 0.25
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
-BLOCK_WORDS = 500_000
+BLOCK_WORDS, BLOCKS_HELD = 500_000, 2
+PIECE_WORDS, TOGETHER = 1024, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 LEAK_SCHEMA = "doc_id long, item_id long, score double, start long, end long, places long"
@@ -65,32 +75,42 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 @dataclass
 class Block:
-    """Items of the benchmark, as numbers of their words."""
+    """Items of the benchmark, as numbers of their words, in pieces."""
 
-    item_ids: list[int | None]
-    items: list[np.ndarray]
-    vocabulary: dict[bytes, int]
+    item_ids: list[list[int | None]] = field(default_factory=list)  # of each distinct item, all of its rows
+    sizes: list[int] = field(default_factory=list)
+    pieces: list[np.ndarray] = field(default_factory=list)
+    owners: list[int] = field(default_factory=list)  # the item of each piece
+    vocabulary: dict[bytes, int] = field(default_factory=dict)
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hashes, places' first, places
 
-    def seed(self, counts: Counter, total: int) -> None:
+    def add(self, item_ids: list[int | None], found: list[bytes]) -> None:
+        numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found])
+        cut = [numbers[i : i + PIECE_WORDS] for i in range(0, len(numbers), PIECE_WORDS)]
+        self.owners += [len(self.sizes)] * len(cut)
+        self.pieces += cut
+        self.item_ids.append(item_ids)
+        self.sizes.append(len(found))
+
+    def seed(self, counts: dict[int, int], total: int) -> None:
         """Choose the seeds from the corpus counts of the block's words."""
         need = math.log2((total + 1) / SPARE)
-        bits = np.array([0.0] + [-math.log2((counts[i] + 1) / (total + 1)) for i in range(1, len(self.vocabulary) + 1)])
+        bits = np.array([0.0] + [-math.log2((counts.get(i, 0) + 1) / (total + 1)) for i in range(1, len(self.vocabulary) + 1)])
         found: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for at, item in enumerate(self.items):
-            ends = np.concatenate(([0.0], np.cumsum(bits[item])))
+        for at, piece in enumerate(self.pieces):
+            ends = np.concatenate(([0.0], np.cumsum(bits[piece])))
             chosen = []
-            for p in range(len(item)):
+            for p in range(len(piece)):
                 n = int(np.searchsorted(ends, ends[p] + need)) - p
                 n = max(n, FEWEST_WORDS)
-                if n <= MOST_WORDS and p + n <= len(item):
+                if n <= MOST_WORDS and p + n <= len(piece):
                     chosen.append((p, n))
             if not chosen:
-                n = min(MOST_WORDS, len(item))
-                chosen = [(p, n) for p in range(len(item) - n + 1)]
+                n = min(MOST_WORDS, len(piece))
+                chosen = [(p, n) for p in range(len(piece) - n + 1)]
             for n in {n for _, n in chosen}:
                 own = np.array([p for p, m in chosen if m == n])
-                for p, h in zip(own.tolist(), hashed(item, n, own).tolist(), strict=True):
+                for p, h in zip(own.tolist(), hashed(piece, n, own).tolist(), strict=True):
                     found[n][h].append((at, p))
         for n, places in found.items():
             order = sorted(places)
@@ -131,7 +151,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _windows(block: Block, numbers: np.ndarray, document: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, first word, end word) of each group of seeds; words counted within the document."""
+    """(document, piece, first word, end word) of each group of seeds; words counted within the document."""
     pairs = []
     for n, (hashes, starts, places) in block.seeds.items():
         if len(numbers) < n:
@@ -148,12 +168,12 @@ def _windows(block: Block, numbers: np.ndarray, document: np.ndarray, first: np.
         count = starts[at + 1] - starts[at]
         which = np.repeat(starts[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
         where = np.repeat(inside, count)
-        item, place = places[which].T
-        pairs.append(np.stack((document[where], item, where - first[document[where]] - place), 1))
+        piece, place = places[which].T
+        pairs.append(np.stack((document[where], piece, where - first[document[where]] - place), 1))
     if not sum(map(len, pairs)):
         return []
-    found = np.unique(np.concatenate(pairs), axis=0)  # document, item, diagonal, in that order
-    size = np.array([len(x) for x in block.items])[found[:, 1]]
+    found = np.unique(np.concatenate(pairs), axis=0)  # document, piece, diagonal, in that order
+    size = np.array([len(x) for x in block.pieces])[found[:, 1]]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:, :2] != found[:-1, :2]).any(1) | (found[1:, 2] - found[:-1, 2] > size[1:] // 2)
     starts = np.flatnonzero(new)
@@ -163,98 +183,187 @@ def _windows(block: Block, numbers: np.ndarray, document: np.ndarray, first: np.
     return list(zip(found[starts, 0].tolist(), found[starts, 1].tolist(), np.maximum(0, found[starts, 2] - pad).tolist(), (found[ends, 2] + length + pad).tolist(), strict=True))
 
 
+def _batches(block: Block, spots: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Spots of like size, of TOGETHER cells of the alignment's rows at once (one spot at least)."""
+    spots = sorted(spots, key=lambda s: (len(block.pieces[s[1]]), s[3] - s[2]))
+    some, width = [], 0
+    for spot in spots:
+        wider = max(width, spot[3] - spot[2])
+        if some and (len(some) + 1) * wider > TOGETHER:
+            yield some
+            some, wider = [], spot[3] - spot[2]
+        some.append(spot)
+        width = wider
+    if some:
+        yield some
+
+
 def leaks_of(block: Block, texts: list[str], least: float) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, start, end, places): the leaks in some texts; start and end in code points."""
     each = [numbers_of(t, block.vocabulary) for t in texts]
     first = np.cumsum([0, *(len(x) for x in each)])
     document = np.repeat(np.arange(len(texts)), np.diff(first))
     spots = _windows(block, np.concatenate([np.zeros(0, np.int64), *each]), document, first)
-    best: dict[tuple[int, int], list] = {}
-    spots.sort(key=lambda s: (len(block.items[s[1]]), s[3] - s[2]))
-    for k in range(0, len(spots), 512):
-        some = spots[k : k + 512]
-        items = [block.items[i] for _, i, _, _ in some]
-        score, end = align(items, [each[d][a:b] for d, _, a, b in some])
-        for (d, i, a, _), s, e, item in zip(some, score.tolist(), end.tolist(), items, strict=True):
-            if (share := s / (MATCH * len(item))) < least:
-                continue
-            entry = best.setdefault((d, i), [share, a, a + e, 0])
-            entry[3] += 1
-            if (share, -a) > (entry[0], -entry[1]):
-                entry[:3] = share, a, a + e
+    best: dict[tuple[int, int], list] = {}  # of a document and a piece: score, first word, last word, places
+    for some in _batches(block, spots):
+        pieces = [block.pieces[i] for _, i, _, _ in some]
+        score, end = align(pieces, [each[d][a:b] for d, _, a, b in some])
+        for (d, i, a, _), s, e, piece in zip(some, score.tolist(), end.tolist(), pieces, strict=True):
+            entry = best.setdefault((d, i), [s, a, a + e, 0])
+            entry[3] += s >= least * MATCH * len(piece)
+            if (s, -a) > (entry[0], -entry[1]):
+                entry[:3] = s, a, a + e
+    whole: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for d, i in sorted(best):
+        whole[d, block.owners[i]].append((d, i))
     out = []
-    for (d, i), (share, a, e, places) in sorted(best.items()):
-        back = each[d][a : e + 1][::-1]
-        _, begin = align([block.items[i][::-1]], [back])
+    for (d, item), keys in whole.items():
+        share = sum(best[k][0] for k in keys) / (MATCH * block.sizes[item])
+        if share < least:
+            continue
+        begins, ends = [], []
+        for _, i in keys:
+            _, a, e, _ = best[d, i]
+            back = each[d][a : e + 1][::-1]
+            _, begin = align([block.pieces[i][::-1]], [back])
+            begins.append(e - int(begin[0]))
+            ends.append(e)
         spans = word_spans(texts[d])
-        out.append((d, i, share, spans[e - int(begin[0])][0], spans[e][1], places))
+        out.append((d, item, share, spans[min(begins)][0], spans[max(ends)][1], max(1, *(best[k][3] for k in keys))))
     return out
 
 
-def _count(vocabulary: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(len(vocabulary) + 1, np.int64)
-    for batch in common.slices(batches, "text"):
-        for text in batch.column(0).to_pylist():
-            counts += np.bincount(numbers_of(text, vocabulary), minlength=len(counts))
-    counts[0] = counts.sum()
-    kinds = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(counts[kinds])], names=["word", "n"])
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path)
 
 
-def _scan(block: Block, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("places", pa.int64())])
-    for batch in common.slices(batches, "text", 2 << 20):
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        if rows := leaks_of(block, texts, least):
-            values = list(zip(*((doc_ids[d], block.item_ids[i], *rest) for d, i, *rest in rows), strict=True))
-            yield common.one_batch(schema, dict(zip(schema.names, values, strict=True)))
+def _written(block: Block, folder: str, number: int) -> str:
+    path = f"{folder}/{number:06d}-{uuid.uuid4().hex}.block"
+    store, inside = _file_system(path)
+    with store.open_output_stream(inside) as out:
+        out.write(pickle.dumps(block))
+    return path
 
 
-def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The benchmark in blocks of ``most_words`` words (one item at least)."""
-    ids, items, vocabulary, held = [], [], {}, 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        if not (found := words(text or "")):
-            continue
-        if items and held + len(found) > most_words:
-            yield Block(ids, items, vocabulary)
-            ids, items, vocabulary, held = [], [], {}, 0
-        ids.append(item_id)
-        items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]))
-        held += len(found)
-    if items:
-        yield Block(ids, items, vocabulary)
+@lru_cache(maxsize=BLOCKS_HELD)
+def _read(path: str) -> Block:
+    store, inside = _file_system(path)
+    with store.open_input_stream(inside) as file:
+        return pickle.loads(file.read())
+
 
+_PATHS = pa.schema([("block", pa.int32()), ("path", pa.string())])
 
-def _seeded(block: Block, texts: DataFrame) -> None:
-    """Choose the block's seeds by the frequencies of its words in all texts."""
-    counted = common.map_batches(texts, partial(_count, block.vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = Counter(dict(counted.collect()))  # at most one row for each word of the block
-    block.seed(counts, counts.pop(0, 0))
+
+def _build(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, item_id, text) in order of block and text: a file for each block; texts that repeat are one item."""
+    at, block, last, ids = None, Block(), None, []
+
+    def settle() -> None:
+        if ids and (found := words(last)):
+            block.add(ids, found)
+
+    for batch in batches:
+        for number, item_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (number, text) != (at, last):
+                settle()
+                ids = []
+            if number != at:
+                if at is not None:
+                    yield common.one_batch(_PATHS, {"block": [at], "path": [_written(block, folder, at)]})
+                at, block = number, Block()
+            last = text
+            ids.append(item_id)
+    settle()
+    if at is not None:
+        yield common.one_batch(_PATHS, {"block": [at], "path": [_written(block, folder, at)]})
+
+
+def _count(paths: dict[int, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word, n): how often the words of each block occur; word 0 stands for all words."""
+    schema = pa.schema([("block", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
+    counts: dict[int, np.ndarray] = {}
+    for batch in common.slices(batches, "text"):
+        texts = batch.column(0).to_pylist()
+        for number, path in paths.items():
+            vocabulary = _read(path).vocabulary
+            own = counts.setdefault(number, np.zeros(len(vocabulary) + 1, np.int64))
+            for text in texts:
+                own += np.bincount(numbers_of(text, vocabulary), minlength=len(own))
+    for number, own in counts.items():
+        own[0] = own.sum()
+        kinds = np.flatnonzero(own)
+        yield common.one_batch(schema, {"block": [number] * len(kinds), "word": kinds, "n": own[kinds]})
+
+
+def _seeded(paths: dict[int, str], folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, word, n) in order of block: a file for each block, with its seeds."""
+    at, counts = None, {}
+
+    def done() -> pa.RecordBatch:
+        block = pickle.loads(pickle.dumps(_read(paths[at])))
+        block.seed(counts, counts.pop(0, 0))
+        return common.one_batch(_PATHS, {"block": [at], "path": [_written(block, folder, at)]})
+
+    for batch in batches:
+        for number, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if number != at:
+                if at is not None:
+                    yield done()
+                at, counts = number, {}
+            counts[word] = counts.get(word, 0) + n
+    if at is not None:
+        yield done()
+
+
+def blocks(benchmark: DataFrame, texts: DataFrame, most_words: int = BLOCK_WORDS) -> list[str]:
+    """Paths of the benchmark's blocks, with seeds by the words' frequencies in ``texts``; one short text a block reaches the driver."""
+    spark = benchmark.sparkSession
+    folder, n = f"{common.own_folder(spark)}/benchmark-{uuid.uuid4().hex}", common.partitions(spark)
+    store, inside = _file_system(folder)
+    store.create_dir(inside, recursive=True)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_of().alias("text"))
+    (held,) = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).head()
+    if not held:
+        return []
+    count = -(-held // most_words)
+    number = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(count)).cast("int").alias("block")
+    dealt = rows.select(number, "item_id", "text").repartition(min(count, n), "block").sortWithinPartitions("block", "text", "item_id")
+    built = dict(common.stored(common.map_batches(dealt, partial(_build, folder), "block int, path string"), "blocks").collect())
+    counted = common.map_batches(texts.select("text"), partial(_count, built), "block int, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
+    none = spark.createDataFrame([(b, 0, 0) for b in built], "block int, word long, n long")  # a corpus without texts counts nothing
+    ordered = counted.unionByName(none).repartition(min(count, n), "block").sortWithinPartitions("block")
+    found = common.stored(common.map_batches(ordered, partial(_seeded, built, folder), "block int, path string"), "blocks").collect()
+    return [path for _, path in sorted(found)]
+
+
+def _scan(paths: list[str], least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("places", pa.int64())])
+    for batch in common.slices(batches, "text", 2 << 20):
+        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for path in paths:
+            block = _read(path)
+            rows = [(doc_ids[d], item_id, *rest) for d, i, *rest in leaks_of(block, texts, least) for item_id in block.item_ids[i]]
+            if rows:
+                yield common.one_batch(schema, dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, most_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and test item that leaks into it: score, span of the best place, number of places."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    found = None
-    for block in blocks(benchmark, most_words):
-        _seeded(block, rows.select("text"))
-        own = common.map_batches(rows, partial(_scan, block, least), LEAK_SCHEMA)
-        found = own if found is None else found.unionAll(own)
-    return found if found is not None else docs.sparkSession.createDataFrame([], LEAK_SCHEMA)
+    paths = blocks(benchmark, rows, most_words)
+    return common.map_batches(rows, partial(_scan, paths, least), LEAK_SCHEMA)
 
 
-def _clean(block: Block, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(paths: list[str], least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, "_text", 2 << 20):
-        leaking = {d for d, *_ in leaks_of(block, batch.column(0).to_pylist(), least)}
-        yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)]))
+        texts = batch.column(0).to_pylist()
+        leaking = {d for path in paths for d, *_ in leaks_of(_read(path), texts, least)}
+        yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, most_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents into which no test item leaks, with all their columns; each row is judged by its own text."""
-    kept = docs.select(common.text_of().alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    texts = kept.select(F.col("_text").alias("text"))
-    for block in blocks(benchmark, most_words):
-        _seeded(block, texts)
-        kept = common.map_batches(kept, partial(_clean, block, least), kept.schema)
-    return kept.select("_row.*")
+    kept = docs.select(common.text_of().alias("_text"), common.whole_row(docs).alias("_row"))
+    paths = blocks(benchmark, kept.select(F.col("_text").alias("text")), most_words)
+    return common.map_batches(kept, partial(_clean, paths, least), kept.schema).select("_row.*")
