@@ -8,36 +8,66 @@ speaker's own messages and their end marks.
     <|user name=NAME|>\\ntext<|end|>\\n   other speakers
     <|system|>\\ntext<|end|>\\n           the system message
 
-A dialogue is rendered in parts of PART messages at most, so that a conversation of any length, even
-one that holds a third of all rows, is many rows of bounded size.  Messages are numbered within
-buckets of TURNS consecutive turns, whose offsets come from counts.
+No message can forge a marker: ``<|`` in a text is written ``<||`` (a marker never has a second bar, so
+reading ``<||`` as ``<|`` gives the text back), and in a name ``% < | >`` and line ends are percent-encoded.
+
+A dialogue is rendered in parts of PART messages at most, so that a conversation of any length, even one
+that holds a third of all rows, is many rows of bounded size.  A system message is rendered once, at its
+place; later parts don't repeat it.  Messages are numbered by ranges of their order, whose offsets come
+from counts, and participants meet the parts in lists of NAMES, through ``common.attach``: no step gathers
+a conversation in one task.
 
 Defined cases: a null speaker is named ``unknown``, a null text is empty; messages are ordered by turn
-(null first), speaker and text; rows that repeat are messages of their own; rows with a null conv_id are
+(null first), speaker and MD5 of the text; rows that repeat are messages of their own; rows with a null conv_id are
 one conversation; a conversation without participants, and an empty table, give no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PART, TURNS = 64, 256
+from attestor.llm import common
+
+PART, NAMES = 64, 64
 END = "<|end|>"
+#: What stands for the characters that a name must not hold.
+ENCODED = {"%": "%25", "<": "%3C", "|": "%7C", ">": "%3E", "\n": "%0A", "\r": "%0D"}
+
+
+def escaped_text(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<||"))
+
+
+def escaped_name(name: Column) -> Column:
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENCODED.items(), name)
+
+
+def _speaker(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
+
+
+def _key() -> Column:
+    """The conversation as a text that is never null."""
+    return F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("key")
 
 
 def numbered(messages: DataFrame, speaker: str = "role") -> DataFrame:
-    """(conv_id, speaker, text, position): messages with their place from 0 in the conversation."""
+    """(key, conv_id, speaker, text, position): messages with their place from 0 in the conversation."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = messages.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        _key(), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _speaker(speaker).alias("speaker"), text.alias("text"),
+        F.md5(text).alias("digest"), F.monotonically_increasing_id().alias("row"),
     )
-    rows = rows.withColumn("bucket", F.expr(f"coalesce(floor(turn / {TURNS}), -9223372036854775808L)"))
-    counts = rows.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
-    before = counts.selectExpr("conv_id as _conv", "bucket as _bucket", "coalesce(sum(n) over (partition by conv_id order by bucket rows between unbounded preceding and 1 preceding), 0) as _before")
-    ordered = rows.selectExpr("*", "row_number() over (partition by conv_id, bucket order by turn, speaker, text) as nth")
-    joined = ordered.join(before, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("bucket") == F.col("_bucket")))
-    return joined.select("conv_id", "speaker", "text", (F.col("_before") + F.col("nth") - 1).alias("position"))
+    order = ["key", F.col("turn").asc_nulls_first(), "speaker", "digest", "row"]
+    dealt = rows.repartitionByRange(common.partitions(messages.sparkSession), *order).withColumn("range", F.spark_partition_id())
+    dealt = common.stored(dealt, "messages")  # the ranges must not be drawn twice
+    counts = dealt.groupBy("key", "range").agg(F.count("*").alias("n"))
+    before = counts.selectExpr("key", "`range`", "coalesce(sum(n) over (partition by key order by `range` rows between unbounded preceding and 1 preceding), 0) as before")
+    ordered = dealt.selectExpr("*", "row_number() over (partition by key, `range` order by turn nulls first, speaker, digest) as nth")
+    return ordered.join(before, ["key", "range"]).select("key", "conv_id", "speaker", "text", (F.col("before") + F.col("nth") - 1).alias("position"))
 
 
 def _rendered(perspective: Column, messages: Column) -> Column:
@@ -45,7 +75,7 @@ def _rendered(perspective: Column, messages: Column) -> Column:
     kind = "struct<text:string,at:bigint,mask:array<string>>"
 
     def head(m: Column) -> Column:
-        other = F.concat(F.lit("<|user name="), m["speaker"], F.lit("|>\n"))
+        other = F.concat(F.lit("<|user name="), escaped_name(m["speaker"]), F.lit("|>\n"))
         return F.when(m["speaker"] == perspective, "<|assistant|>\n").when(m["speaker"] == "system", "<|system|>\n").otherwise(other)
 
     def step(acc: Column, m: Column) -> Column:
@@ -58,26 +88,36 @@ def _rendered(perspective: Column, messages: Column) -> Column:
     return F.aggregate(messages, first, step)
 
 
-def rotate(messages: DataFrame, speaker: str = "role", part: int = PART) -> DataFrame:
+def rotate(messages: DataFrame, speaker: str = "role", part: int = PART, names: int = NAMES) -> DataFrame:
     """One row per conversation, participant and part: conv_id, perspective, part, n_messages, text, mask (start:end, ...)."""
-    rows = numbered(messages, speaker)
-    parts = rows.groupBy("conv_id", F.floor(F.col("position") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("position", "speaker", "text"))).alias("messages"))
-    speakers = messages.select(F.col("conv_id").cast("long").alias("_conv"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("perspective")).filter("perspective <> 'system'").distinct()
-    joined = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    rows = numbered(messages, speaker).withColumn("text", escaped_text(F.col("text")))
+    parts = rows.groupBy("key", "conv_id", F.floor(F.col("position") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("position", "speaker", "text"))).alias("messages"))
+    people = messages.select(_key(), _speaker(speaker).alias("perspective")).filter("perspective <> 'system'").groupBy("key", "perspective").agg(F.count("*").alias("n"))
+    # Participants in lists of about ``names``, by hash: a conversation of very many has many lists.
+    counted = people.groupBy("key").agg(F.ceil(F.count("*") / names).cast("int").alias("lists"), F.sum("n").alias("n"))
+    dealt = common.attach(people.drop("n"), counted, ["key"], "n", "perspective")
+    listed = dealt.groupBy("key", F.pmod(F.xxhash64("perspective"), F.col("lists")).cast("int").alias("list")).agg(F.collect_list("perspective").alias("people"), F.max("n").alias("n"))
+    each = common.attach(parts, counted, ["key"], "n", "part").filter("lists is not null").drop("n").withColumn("list", F.explode(F.expr("sequence(0, lists - 1)"))).drop("lists")
+    joined = common.attach(each, listed, ["key", "list"], "n", "part").filter("people is not null").withColumn("perspective", F.explode("people"))
     done = joined.select("conv_id", "perspective", "part", F.size("messages").cast("long").alias("n_messages"), _rendered(F.col("perspective"), F.col("messages")).alias("r"))
     return done.select("conv_id", "perspective", "part", "n_messages", F.col("r.text").alias("text"), F.array_join("r.mask", ",").alias("mask"))
 
 
+def _sql_name(name: str) -> str:
+    quoted = {"\n": "chr(10)", "\r": "chr(13)"}
+    return reduce(lambda c, pair: f"replace({c}, {quoted.get(pair[0], repr(pair[0]))}, '{pair[1]}')", ENCODED.items(), name)
+
+
 ROTATE_SQL = f"""
 with m as (
-  select conv_id, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text,
-         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) - 1 as position
+  select conv_id, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|', '<||') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), md5(coalesce(text, ''))) - 1 as position
   from conversations
 ), p as (select distinct conv_id, coalesce(role, 'unknown') as perspective from conversations where coalesce(role, 'unknown') <> 'system'),
 s as (
   select m.conv_id, perspective, position // {PART} as part, position, speaker = perspective as own,
          case when speaker = perspective then '<|assistant|>' when speaker = 'system' then '<|system|>'
-              else '<|user name=' || speaker || '|>' end || chr(10) as head, text || '{END}' as body
+              else '<|user name=' || {_sql_name("speaker")} || '|>' end || chr(10) as head, text || '{END}' as body
   from m join p on m.conv_id is not distinct from p.conv_id
 ), o as (
   select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, perspective, part order by position rows between unbounded preceding and 1 preceding), 0) + length(head) as begin
