@@ -8,12 +8,14 @@ character on average.
 
 Both models are counts of pairs of characters in labelled samples: random strings (1) and identifiers
 (0).  ``labelled_samples`` makes random ones from SHA-256 digests in several alphabets and takes words
-of SAMPLE_DOCS documents (those of least hash of doc_id) as ordinary ones, alone and joined to names as
-programs and paths have them (fooBar, FOO_BAR, foo-bar2, foo/bar).  Only the pair counts, at most
+of SAMPLE_DOCS documents (those of least hash of doc_id and text, stored before any pattern touches them) as
+ordinary ones, alone and joined to names as programs and paths have them (fooBar, FOO_BAR, foo-bar2, foo/bar).  Only the pair counts, at most
 2 * 68 * 68 numbers, reach the driver; the ratios return to the plan as one constant array.
 
 Everything is DataFrame expressions: matches come from ``regexp_extract_all``, what lies between them
-from ``split`` by the same pattern, and their lengths give positions in code points.
+from ``split`` by the same pattern, and their lengths give positions in code points.  A text is searched for
+a pattern only where it holds what every match holds (a word of ``assign``, ``AKIA``).  Patterns of runs start
+at a run's start, so that no run is gone through once for each of its characters.
 
 Defined cases: a null text is empty and has no spans; rows that repeat are scanned each by itself; an
 empty table gives an empty result (the models are then trained on random strings alone and nothing is
@@ -23,6 +25,7 @@ scanned).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,9 @@ from attestor.llm import common
 # of the pattern: a run that is too short holds no shorter start that is long enough).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
+#: One of these, in lower case, is in every text with a match of ASSIGN.
+ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -45,8 +50,11 @@ SAMPLE_DOCS, SAMPLE_STRINGS = 2_000, 2_000
 SMOOTHING = 0.5
 
 
-def matches(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
-    """array<struct<start, end, text, g1, ...>> of all matches, in code points; empty for most texts."""
+def matches(text: Column, pattern: str, groups: tuple[int, ...] = (), needed: Column | None = None) -> Column:
+    """array<struct<start, end, text, g1, ...>> of all matches, in code points; empty for most texts.
+
+    ``needed`` is true of every text with a match.
+    """
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, *groups)]
     names = ["text", *(f"g{g}" for g in groups)]
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), *[c.alias(n) for c, n in zip(found, names, strict=True)])
@@ -59,7 +67,8 @@ def matches(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.when(row["text"].isNotNull(), one).otherwise(F.array().cast(kind))).alias("out"))
 
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    present = text.rlike(pattern) if needed is None else needed & text.rlike(pattern)
+    return F.when(present, F.aggregate(rows, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -68,8 +77,11 @@ def _spans(found: Column, kind: int) -> Column:
 
 def base_spans(text: Column) -> list[tuple[str, Column]]:
     """The spans of each base kind: array<struct<start, kind, end>>."""
-    assign = F.filter(matches(text, ASSIGN, (2,)), lambda m: F.length(m["g2"]) >= ASSIGN_LEAST)
-    return [("assign", _spans(assign, 0)), ("access", _spans(matches(text, ACCESS), 1)), ("hex", _spans(matches(text, HEX), 2))]
+    lowered = F.lower(text)
+    worded = reduce(Column.__or__, (F.contains(lowered, F.lit(w)) for w in ASSIGN_WORDS))
+    assign = F.filter(matches(text, ASSIGN, (2,), worded), lambda m: F.length(m["g2"]) >= ASSIGN_LEAST)
+    access = matches(text, ACCESS, needed=F.contains(text, F.lit("AKIA")))
+    return [("assign", _spans(assign, 0)), ("access", _spans(access, 1)), ("hex", _spans(matches(text, HEX), 2))]
 
 
 def rendered(spans: Column) -> Column:
@@ -78,36 +90,44 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sampled_texts(docs: DataFrame, most_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``most_docs`` distinct texts at most, written to the shared folder; only hashes are sorted and joined."""
+    rows = docs.select(F.xxhash64("doc_id").alias("a"), F.xxhash64(common.text_of()).alias("b"), common.text_of().alias("text"))
+    chosen = rows.select("a", "b").orderBy("a", "b").limit(most_docs)
+    found = rows.join(F.broadcast(chosen), ["a", "b"], "left_semi")  # most_docs rows of two numbers
+    return common.stored(found.groupBy("a", "b").agg(F.first("text").alias("text")).select("text"), "sampled-texts")
+
+
 def labelled_samples(docs: DataFrame, most_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(token, label): random strings are 1, ordinary identifiers 0."""
+    """(token, label, n): random strings are 1, ordinary identifiers 0; n times each."""
     spark: SparkSession = docs.sparkSession
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     seeds = spark.range(strings).select(F.explode(F.array(
         F.base64(digest), F.lower(F.hex(digest)), F.upper(F.translate(F.base64(digest), "+/=", "")),
         F.lower(F.translate(F.base64(digest), "+/=", "")), F.translate(F.base64(digest), "+/", "-_"),
-    )).alias("token"), F.lit(1).alias("label"))
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(common.text_of().alias("text"))
+    )).alias("token"), F.lit(1).alias("label"), F.lit(1).cast("long").alias("n"))
     plain = F.filter(F.regexp_extract_all("text", F.lit(TOKEN + "{2,}"), F.lit(0)), lambda w: ~w.rlike(f"{HEX}|{ACCESS}"))
-    words = texts.select(F.array_distinct(plain).alias("w")).filter("size(w) > 1")
-    pairs = words.select("w", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))
-    a, b, number = F.lower("p.a"), F.lower("p.b"), F.pmod(F.xxhash64("p.a"), F.lit(100)).cast("string")
+    words = sampled_texts(docs, most_docs).select(F.array_distinct(plain).alias("w"))
+    both = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
+    pairs = words.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    a, b, number = F.lower("a"), F.lower("b"), F.pmod(F.xxhash64("a"), F.lit(100)).cast("string")
     names = pairs.select(F.explode(F.array(
-        F.col("p.a"), F.concat(a, F.initcap(b), number), F.concat(F.initcap(a), F.initcap(b)), F.concat(F.upper(a), F.lit("_"), F.upper(b)),
+        F.col("a"), F.concat(a, F.initcap(b), number), F.concat(F.initcap(a), F.initcap(b)), F.concat(F.upper(a), F.lit("_"), F.upper(b)),
         F.concat(a, F.lit("_"), b, F.lit("_"), number), F.concat(a, F.lit("-"), b, number), F.concat(a, F.lit("/"), b, F.lit("="), number),
-    )).alias("token"), F.lit(0).alias("label"))
+    )).alias("token"), F.lit(0).alias("label"), "n")
     return seeds.unionAll(names)
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of characters (a row of ``len(ALPHABET) + 1`` for each first one; 0: other)."""
     width = len(ALPHABET) + 1
-    pairs = samples.filter(F.length("token") >= 2).select("label", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
-    code = lambda at: F.instr(F.lit(ALPHABET), F.substring("token", at, F.lit(1)))
-    counted = pairs.select("label", code(F.col("i")).alias("a"), code(F.col("i") + 1).alias("b")).groupBy("label", "a", "b").agg(F.count("*").alias("n"))
+    chars = F.split("token", "")
+    coded = samples.filter(F.length("token") >= 2).select("label", "n", F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)).alias("c"))
+    steps = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: a * width + b)
+    counted = coded.select("label", "n", F.explode(steps).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n"))
     counts = [[SMOOTHING] * (width * width) for _ in range(2)]
-    for label, a, b, n in counted.collect():  # 2 * width * width rows at most
-        counts[label][a * width + b] += n
+    for label, pair, n in counted.collect():  # 2 * width * width rows at most
+        counts[label][pair] += n
     ratios = []
     for a in range(width):
         rows = [c[a * width : (a + 1) * width] for c in counts]
@@ -127,7 +147,7 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
 
 def markov_spans(text: Column, base: Column, ratios: list[float], least: float = LEAST_RATIO) -> Column:
     """Runs outside ``base`` that the model of random strings explains better."""
-    runs = F.filter(matches(text, TOKEN + f"{{{MIN_TOKEN},}}"), lambda m: m["text"].rlike("[0-9]"))
+    runs = F.filter(matches(text, f"(?<!{TOKEN}){TOKEN}{{{MIN_TOKEN},}}"), lambda m: m["text"].rlike("[0-9]"))
     apart = F.filter(runs, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])))
     return _spans(F.filter(apart, lambda m: mean_ratio(m["text"], ratios) >= least), 3)
 
