@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.functions.shipping import spread
 from attestor.llm import decontaminate, exact_dedup, hash_tree, language_hd, packing, perspectives, quality_gbt, secret_markov, simhash_pivots, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; documents of fewer parts than there are cores are dealt over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_cost_packing, op7_quality_gbt, op8_secret_markov, op9_exact_dedup, op10_simhash_pivots,
     )
 }
-ORACLES: dict[str, str] = {"op1_perspective_rotation": perspectives.ROTATE_SQL, "op9_exact_dedup": exact_dedup.COPIES_SQL}
+ORACLES: dict[str, str] = {"op1_perspective_rotation": perspectives.ROTATE_SQL, "op5_hash_tree": hash_tree.SHARDS_SQL, "op9_exact_dedup": exact_dedup.COPIES_SQL}
