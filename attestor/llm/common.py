@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from attestor.functions.shipping import map_batches  # noqa: F401
 
 #: Most classes that one broadcast of heavy keys may carry.
 HEAVY_KEYS = 1000
+#: Bits, as a power of two, of the set of keys that ``marked`` broadcasts (in words of 64).
+MARK_BITS = 26
 
 
 def text_of(column: str = "text") -> Column:
@@ -23,48 +29,62 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a name that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (a local test session) one is made here.
+    Where that setting is absent one is made on this machine, but only for a session whose tasks run
+    here too; on a cluster that is an error, as its hosts don't see each other's folders.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
     if not found:
-        known = spark.sparkContext.getCheckpointDir()
+        known = context.getCheckpointDir()
+        if not known and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
         found = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="attestor-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/attestor/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_folders: dict[str, str] = {}
 
 
-_shipped: set[str] = set()
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    context = spark.sparkContext
+    if (name := context.applicationId) not in _folders:
+        _folders[name] = f"{shared_folder(spark)}/attestor/{name}"
+        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), _folders[name])
+    return _folders[name]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: they need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).parents[1]
-        target = Path(tempfile.mkdtemp(prefix="attestor-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(target))
-        _shipped.add(context.applicationId)
+def _delete(jvm, configuration, path: str) -> None:
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(configuration).delete(target, True)
+    except (Py4JError, OSError):  # the JVM has gone: the folder is left
+        pass
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            _delete(context._jvm, context._jsc.hadoopConfiguration(), folder)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -89,17 +109,47 @@ def attach(rows: DataFrame, classes: DataFrame, keys: Sequence[str], weight: str
     return joined.select(*rows.columns, *both)
 
 
+def marked(rows: DataFrame, key: str, names: DataFrame, bits: int = MARK_BITS) -> DataFrame:
+    """``rows`` with ``_met``: true wherever ``key`` (a long) is in the one column of ``names``, and for few others.
+
+    What is broadcast is a set of 2**bits bits by the lower bits of the keys, 2**(bits - 6) rows of two
+    numbers at most at every size of ``names``; the more of them, the more rows are marked in vain.
+    """
+    name = names.columns[0]
+    word = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63L as int))")
+    words = names.select(word(name).alias("_word"), bit(name).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    joined = rows.withColumn("_word", word(key)).join(F.broadcast(words), "_word", "left")
+    met = F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))
+    return joined.select(*rows.columns, met.alias("_met"))
+
+
 def one_batch(schema: pa.Schema, columns: dict[str, Sequence]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each take about ``most_bytes`` (one row at least)."""
+@cache
+def _trim():
+    """The C library's function that returns free memory to the system, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return memory that a batch has freed: a worker serves many tasks, and two share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, trim: bool = True) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each take about ``most_bytes`` (one row at least); ``trim``: give memory back after each."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         if batch.column(batch.schema.get_field_index(column)).nbytes <= most_bytes:
             yield batch
+            if trim:
+                give_back()
             continue
         sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         first = held = 0
@@ -107,5 +157,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             held += size or 0
             if held > most_bytes and i > first:
                 yield batch.slice(first, i - first)
+                if trim:
+                    give_back()
                 first, held = i, size or 0
         yield batch.slice(first)
+        if trim:
+            give_back()
