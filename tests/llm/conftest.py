@@ -11,7 +11,7 @@ def documents(spark):
 
 
 #: Columns that clash with names the operators use inside.
-CLASHING = "key long, n long, part int, score double, fp long, label string, shard int, keep_id long, _row int, text_sha256 string, lang_pred string, component string"
+CLASHING = "key long, n long, part int, score double, fp long, label string, shard int, keep_id long, _row int, text_sha256 string, lang_pred string, component string, _leaked string, _kept_id string, _text string, shard_region int, shard_rack int, kinds int, part_ string"
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +25,7 @@ def odd(spark):
         (6, "123 !!! ???", "en", "a"), (7, long, "en", "a"), (8, long + " end", "en", "a"), (9, "é", "fr", "b"), (10, "tok  two   spaces \n x <|endoftext|> y", "en", "b"),
         (None, "no number", "en", "b"), (-5, "negative number", "de", "b"), (11, "Emoji 😀 token: 'abc😀def' secret = \"s3cr3t-value\"", "de", "b"),
     ]
-    filler = (None, 7, 1, 0.5, 3, "l", 2, 9, 4, "z", "qq", "c")
+    filler = (None, 7, 1, 0.5, 3, "l", 2, 9, 4, "z", "qq", "c", "d", "e", "f", 5, 6, 8, "g")
     return spark.createDataFrame([(*r, *filler) for r in rows], "doc_id long, text string, lang string, source string, " + CLASHING).repartition(3).cache()
 
 

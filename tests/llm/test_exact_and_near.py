@@ -38,24 +38,62 @@ def test_one_row_of_each_text_stays_with_its_columns(odd):
 
 def test_equal_keys_are_told_apart_by_bytes(documents):
     texts = {r.text for r in documents.collect()}
-    docs = documents.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(3)))  # three keys for all texts
-    index = exact_dedup.build_index(docs, key=F.col("h"), capacity=2, window=2000)
-    assert index.count() == len(texts) and index.agg(F.max("chain")).head()[0] > 10
-    found = exact_dedup.find_copies(docs, index, key=F.col("h"))
+    key = F.expr("shiftleft(h, 61)")  # four keys for all texts
+    docs = documents.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(4)))
+    index = exact_dedup.build_index(docs, key=key, capacity=2, window=2000)
+    assert index.entries.count() == len(texts) and index.entries.agg(F.max("chain")).head()[0] > 10
+    found = exact_dedup.find_copies(docs, index, key=key)
     assert found.filter("kept").count() == len(texts)
 
 
+def test_copies_are_found_through_directory_and_buckets(documents):
+    expected = len({r.text for r in documents.collect()})
+    index = exact_dedup.build_index(documents, capacity=2)
+    assert exact_dedup.find_copies(documents, index).filter("kept").count() == expected < documents.count()
+    astray = {
+        "place": F.when(F.col("place").isNotNull(), F.expr("pmod(place + 1, shiftleft(1L, cast(n as int)))")),
+        "bucket": F.when(F.col("place").isNull(), F.col("bucket") + 1).otherwise(F.col("bucket")),
+        "key": F.col("key") + 1,
+    }
+    for column, value in astray.items():
+        broken = exact_dedup.Index(index.table.withColumn(column, value), index.owner_bits)
+        assert exact_dedup.find_copies(documents, broken).filter("kept").count() > expected
+
+
 def test_directory_doubles_and_buckets_split(documents):
     index = exact_dedup.build_index(documents, owners=2, capacity=4)
-    buckets = exact_dedup.directory(index).collect()
-    assert max(b.global_depth for b in buckets) > 2 and all(b.keys <= 4 for b in buckets)
+    places = index.directory.collect()
+    assert max(p.global_depth for p in places) > 2
+    for owner in {p.owner for p in places}:
+        own = sorted((p for p in places if p.owner == owner), key=lambda p: p.place)
+        assert [p.place for p in own] == list(range(1 << own[0].global_depth))
+        assert all(p.place >> p.global_depth - p.depth == p.bucket for p in own)
+    assert index.entries.groupBy("owner", "bucket", "depth").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).head()[0] <= 4
     rng, table = random.Random(1), exact_dedup.ExtendibleHash(3)
     keys = [rng.getrandbits(64) for _ in range(500)]
     for k in keys:
-        table.add(k, [k])
-    assert all(table.get(k) == [k] for k in keys) and table.get(1) == []
-    assert all(k & (1 << b.depth) - 1 == b.prefix for b in table.buckets() for k in b.slots)
-    assert all(table.directory[i] is b for b in table.buckets() for i in range(b.prefix, len(table.directory), 1 << b.depth))
+        table.insert(k, f"text {k}", k, 1, 1)
+        table.insert(k, f"text {k}", k + 1, 1, 1)
+        table.insert(k, "another text", 0, 1, 1)
+    assert all([(e.text, e.keep, e.n) for e in table.get(k)] == [(f"text {k}", k + 1, 2), ("another text", 0, 1)] for k in keys) and table.get(1) == []
+    assert all(k >> 64 - b.depth == b.prefix if b.depth else True for b in table.buckets() for k in b.slots)
+    assert all(table.directory[i] is b for b in table.buckets() for i in table.places(b))
+
+
+def test_buckets_of_the_greatest_depth_grow():
+    table = exact_dedup.ExtendibleHash(2, most_depth=3)
+    for k in range(50):
+        table.insert(k, str(k), k, 1, 1)
+    assert table.depth == 3 and all(table.get(k)[0].text == str(k) for k in range(50))
+
+
+def test_rows_that_repeat_doc_id_and_text(spark):
+    rows = [(None, "x")] * 40 + [(1, "x"), (1, "x"), (2, None), (2, ""), (None, "y"), (None, "y"), (3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = exact_dedup.find_copies(docs).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in found if r.kept) == [("1", "1", 42), ("2", "2", 2), ("3", "3", 1), ("None", "None", 2)]
+    kept = exact_dedup.drop_copies(docs)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == [("1", "x"), ("2", ""), ("3", "z"), ("None", "y")]
 
 
 def brute_fingerprint(text):
@@ -99,8 +137,6 @@ def test_near_copies_of_odd_rows(odd, nothing):
     assert {found[i].component_id for i in (3, 4, 5)} == {3} and found[3].fingerprint == "0" * 16
     assert found[2].component_id == 1 and found[8].component_id == 7 and found[None].component_id is None
     assert simhash_pivots.near_copies(nothing).count() == 0
-    kept = simhash_pivots.drop_near_copies(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 7, None}
 
 
 def test_every_link_survives_the_cells(spark):
@@ -110,10 +146,20 @@ def test_every_link_survives_the_cells(spark):
     values |= {v ^ 1 << rng.randrange(64) for v in values}
     prints = {i: v for i, v in enumerate(sorted(values))}
     expected = brute_components(prints)
-    classes = spark.createDataFrame([(simhash_pivots._signed(v), i) for i, v in prints.items()], "fp long, name long").repartition(5)
-    for count in (len(prints), 1 << 22, 1 << 30):  # six, seven and eight blocks
-        found = {r.node: r.component for r in components.components(simhash_pivots.links(classes, count)).collect()}
-        assert {i: found.get(i, i) for i in prints} == expected
+    table = {v: simhash_pivots.distance_table(np.array([v], np.uint64), simhash_pivots.pivots())[0].tobytes() for v in prints.values()}
+    classes = spark.createDataFrame([(simhash_pivots._signed(v), table[v]) for v in prints.values()], "fp long, pivots binary").repartition(5)
+    names = {simhash_pivots._signed(v): i for i, v in prints.items()}
+    for count, hot in ((len(prints), simhash_pivots.HOT_CELL), (1 << 22, simhash_pivots.HOT_CELL), (1 << 30, simhash_pivots.HOT_CELL), (len(prints), 10)):  # six, seven and eight blocks; cells dealt out anew
+        links = simhash_pivots.links(classes, count, hot=hot)
+        pairs = components.components(links.filter("u is not null").select("u", "v"))
+        group = {names[r.node]: r.component for r in pairs.collect()}
+        found = {i: group.get(i, simhash_pivots._signed(v)) for i, v in prints.items()}
+        least = {}
+        for i in sorted(prints):
+            least.setdefault(found[i], i)
+        assert {i: least[found[i]] for i in prints} == expected
+        counts = simhash_pivots.pair_counts(links).head()
+        assert counts.met >= counts.discarded + counts.verified and counts.discarded > 0 and counts.verified >= len(prints) - len(set(expected.values()))
     assert [len(simhash_pivots.cell_masks(n)) for n in (1000, 1 << 20, 1 << 26, 1 << 30)] == [5, 15, 35, 70]
 
 
@@ -123,9 +169,14 @@ def test_a_large_cell_is_divided_without_loss():
     values = sorted({start ^ sum(1 << b for b in rng.sample(range(20, 64), rng.randint(0, 5))) for _ in range(900)})
     fps = np.array(values, np.uint64)
     table = simhash_pivots.distance_table(fps, simhash_pivots.pivots())
-    forest = simhash_pivots.Forest()
-    simhash_pivots.link_cell(fps, np.arange(len(fps)), simhash_pivots._free(fps), table, 4, forest)
-    assert {i: forest.root(i) for i in range(len(fps))} == brute_components(dict(enumerate(values)))
+    links = simhash_pivots.Links()
+    simhash_pivots.link_cell(fps, simhash_pivots._free(fps), table, 4, links)
+    number = {simhash_pivots._signed(v): i for i, v in enumerate(values)}
+    groups = {}
+    for v, i in number.items():
+        groups.setdefault(links.forest.root(v), []).append(i)
+    assert {i: min(own) for own in groups.values() for i in own} == brute_components(dict(enumerate(values)))
+    assert links.met < 900 * 899 // 2  # ordered by a coordinate, most pairs never meet
 
 
 def test_pivots_discard_no_linked_pair():
@@ -134,7 +185,9 @@ def test_pivots_discard_no_linked_pair():
     fps = np.concatenate([fps, fps ^ np.uint64(0b1111)])
     table = simhash_pivots.distance_table(fps, simhash_pivots.pivots())
     a, b = np.triu_indices(len(fps), 1)
-    found = set(zip(*(x.tolist() for x in simhash_pivots.close_pairs(fps, a, b, table, 4)), strict=True))
+    x, y, left = simhash_pivots.close_pairs(fps, a, b, table, 4)
+    found = set(zip(x.tolist(), y.tolist(), strict=True))
+    assert len(found) <= left < 0.01 * len(a)  # the table discards nearly all pairs that are not links
     assert found == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
 
 

@@ -13,26 +13,54 @@ MIDDLE = "/root/testdata/sf0.01"
 
 
 def brute_profile(text):
-    letters = language_hd.letter_vectors().astype(int)
-    symbols = [0]
+    points = [0]
     for c in text.lower():
-        code = 1 + ord(c) - ord("a") if "a" <= c <= "z" else 27 + ord(c) % 37 if c.isalpha() else 0
-        if code or symbols[-1]:
-            symbols.append(code)
-    if symbols[-1]:
-        symbols.append(0)
-    total = np.zeros(language_hd.DIMENSIONS, int)
-    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
-        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
-    return total
+        code = ord(c) if c.isalpha() else 0
+        if code or points[-1]:
+            points.append(code)
+    if points[-1]:
+        points.append(0)
+    vector = {p: language_hd.letter_vectors(np.array([p]))[0].astype(int) for p in set(points)}
+    total, kinds = np.zeros(language_hd.DIMENSIONS, int), set()
+    for a, b, c in zip(points, points[1:], points[2:], strict=False):
+        kinds.add((a, b, c))
+        total += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+    return total, len(kinds)
 
 
 def test_profiles_bundle_bound_permuted_letters():
-    texts = ["Some words, und Wörter!", "a", "", "123 ?", "x  y\n\nz", "日本 é"]
-    found, lettered = language_hd.profiles(texts)
-    assert lettered.tolist() == [True, True, False, False, True, True]
-    for text, row in zip(texts, found, strict=True):
-        assert row.astype(int).tolist() == brute_profile(text).tolist()
+    few = ["Some words, und Wörter!", "a", "", "123 ?", "x  y\n\nz", "日本 é"]
+    many = [*few, "".join(chr(0x4E00 + i) for i in range(100))]  # too many letters to count codes in an array
+    for texts in (few, many):
+        found, kinds = language_hd.profiles(texts)
+        for text, row, n in zip(texts, found, kinds.tolist(), strict=True):
+            total, distinct = brute_profile(text)
+            assert row.astype(int).tolist() == total.tolist() and n == distinct
+    assert language_hd.bundle(many).astype(int).tolist() == sum(brute_profile(t)[0] for t in many).tolist()
+
+
+def test_letters_have_vectors_of_their_own():
+    vectors = language_hd.letter_vectors(np.arange(0x61, 0x500)).astype(int)
+    cosines = vectors @ vectors.T / language_hd.DIMENSIONS
+    assert np.abs(cosines - np.eye(len(vectors))).max() < 0.25 and abs(vectors.mean()) < 0.01
+
+
+def test_stage_drops_what_is_in_no_language_and_keeps_the_rest(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    latin, others = "abcdefghijklmnopqrstuvwxyz", ("абвгдежзиклмнопрстуфхцчшщ", "あいうえおかきくけこさしすせそ日本語", "אבגדהוזחטיכלמנסעפצקרשת")
+    foreign = [word(latin, 3000) for _ in range(10)] + [" ".join(word(latin, rng.randint(2, 9)) for _ in range(400)) for _ in range(10)]
+    foreign += [" ".join(word(letters, 6) for _ in range(200)) for letters in others for _ in range(10)]
+    more = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(foreign)], docs.schema)
+    left = {r.doc_id for r in language_hd.keep_identified(docs.union(more)).select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_hd, "MOST_LANGUAGES", 3)
+    rows = [(f"text of language {i} {chr(97 + i) * 3}", f"l{i}") for i in range(8) for _ in range(10 - i)]
+    assert list(language_hd.train(spark.createDataFrame(rows, "text string, lang string"))) == ["l0", "l1", "l2"]
 
 
 def test_languages_are_told_apart_on_held_out_rows(spark):
@@ -57,7 +85,7 @@ def test_language_of_odd_rows(odd, nothing):
     found = {r.doc_id: r for r in rows}
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (3, 4, 5, 6)) and found[7].lang_pred == "en"
     assert language_hd.identify(nothing).count() == 0
-    kept = language_hd.keep_identified(odd, 0.02)
+    kept = language_hd.keep_identified(odd)
     assert kept.schema == odd.schema and {r.doc_id for r in kept.collect()}.isdisjoint({3, 4, 5, 6})
     unlabelled = language_hd.identify(odd.withColumn("lang", language_hd.F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}

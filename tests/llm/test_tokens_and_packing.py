@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from tokenizers import Tokenizer
 
 from attestor.llm import packing, token_files, tokens
@@ -34,7 +35,9 @@ def test_memo_on_any_text(texts):
 def test_elias_fano(values):
     values.sort()
     coded = token_files.EliasFano(memoryview(token_files.EliasFano.encode(np.array(values, np.uint64))))
-    assert [coded.select(i) for i in range(len(values))] == values == coded.all().tolist()
+    assert [coded.select(i) for i in range(len(values))] == values == coded.select_range(0, len(values)).tolist()
+    for first, last in ((1, len(values)), (len(values) // 2, len(values) // 2 + 1), (min(255, len(values)), min(258, len(values)))):
+        assert coded.select_range(first, last).tolist() == values[first:last]
     with pytest.raises(IndexError):
         coded.select(len(values))
 
@@ -52,19 +55,45 @@ def test_token_files_round_trip(request, name, tmp_path):
     for doc_id, ids in documents:
         expected.append((str(doc_id), start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    blocks = token_files.write_blocks(docs, block_ids=5000)
+    blocks = token_files.write_blocks(docs, block_ids=5000, folder=f"file://{tmp_path}")
     found = [(str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_documents(blocks).collect()]
     assert sorted(found) == sorted(expected)
-    assert token_files.export_blocks(blocks, str(tmp_path)) > 1
-    read = [token_files.Block(f.read_bytes()) for f in sorted(tmp_path.iterdir())]
+    files = sorted(tmp_path.glob("*.aef"))
+    assert len(files) == blocks.count() > 1
+    read = [token_files.Block(f.open("rb")) for f in files]
     again = [b.document(i) for b in read for i in range(b.n_docs)]
-    assert [(d, x.tolist()) for d, x in again] == [(d, x.tolist()) for d, x in documents]
+    by_ids = lambda rows: sorted(((str(d), x.tolist()) for d, x in rows))
+    assert by_ids(again) == by_ids(documents) and [d for d, _ in again] == [d for d, _ in documents]
     # Near-minimal: under 2 + log2(u / n) bits a boundary, with the samples and rounding.
     block = max(read, key=lambda b: b.n_docs)
-    size = len(token_files.EliasFano.encode(block.starts.all().astype(np.uint64)))
+    size = len(token_files.EliasFano.encode(block.starts.select_range(0, block.n_docs + 1).astype(np.uint64)))
     assert size * 8 <= block.n_docs * (3 + np.log2(max(2, block.n_ids / block.n_docs))) + 400
 
 
+def test_files_are_read_through_select(spark, documents, tmp_path):
+    manifest = token_files.write_blocks(documents, folder=f"file://{tmp_path}")
+    (tmp_path / "000000-000000-left.aef").write_bytes(b"of an attempt that failed")
+    good = sorted(map(tuple, token_files.read_documents(manifest).collect()))
+    assert len(good) == documents.count()
+    (path,) = (p for p in tmp_path.glob("*.aef") if p.name.startswith("000001-000000-"))
+    raw = bytearray(path.read_bytes())
+    starts = token_files.EliasFano(memoryview(raw), 44)
+    at = starts.end - 4 * len(starts.samples) - len(starts.upper)
+    assert raw[at] & 1  # the first document starts at 0; select finds it in the first bit
+    raw[at] ^= 0b11 if not raw[at] & 2 else 0b101
+    path.write_bytes(raw)
+    try:
+        found = sorted(map(tuple, token_files.read_documents(manifest).collect()))
+    except PySparkException:
+        return
+    assert found != good
+
+
+def test_rows_without_doc_id_are_dealt_over_files(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}") for i in range(300)], "doc_id long, text string")
+    assert token_files.write_blocks(docs).select("part").distinct().count() > 1
+
+
 def test_token_files_of_nothing(nothing):
     assert token_files.token_documents(nothing).count() == 0
 
