@@ -29,21 +29,26 @@ def normalize_space(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, as ``str.strip()`` gives it."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def receipt(text: Column) -> Column:
-    """Text for comparing quotes: without the registered mark, one delta, one blank between words."""
-    return normalize_space(F.replace(F.replace(text, F.lit("®"), F.lit("")), F.lit("∆t"), F.lit("Δt")))
+    """Text for comparing quotes: a blank for the registered mark, one delta, one blank between words."""
+    return normalize_space(F.replace(F.replace(text, F.lit("®"), F.lit(" ")), F.lit("∆t"), F.lit("Δt")))
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-cased word tokens of two characters or more, without stop words.
-
-    No lambda is used here or in ``term_pairs``: Spark then sees that two uses of the terms are one exchange.
-    """
-    lowered = F.lower(text)
-    if stop_words:
-        letter = TOKEN.removesuffix("{2,}")
-        lowered = F.regexp_replace(lowered, f"(?<!{letter})(?:{'|'.join(map(re.escape, stop_words))})(?!{letter})", "")
-    return F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
+    """Lower-cased word tokens of two characters or more, without stop words (looked up in a hash set)."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
+
+
+def read_stop_words(path: str) -> tuple[str, ...]:
+    """A stop list from a text file of words between white space, for a vocabulary that was fitted with it."""
+    with open(path, encoding="utf-8") as file:
+        return tuple(dict.fromkeys(file.read().split()))
 
 
 def term_pairs(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

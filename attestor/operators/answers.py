@@ -10,9 +10,11 @@ from attestor.functions.kleene import all_of
 
 
 def quote_verified(quote: Column, passage: Column, normalized: bool = True) -> Column:
-    """Whether the passage contains the quote, exactly or after receipt normalization."""
-    exact = F.contains(passage, quote)
-    return (exact | F.contains(T.receipt(passage), T.receipt(quote))) & (F.length(F.trim(quote)) > 0) if normalized else exact & (F.length(F.trim(quote)) > 0)
+    """Whether the passage contains the quote, exactly or after receipt normalization; a blank quote proves nothing."""
+    exact, present = F.contains(passage, quote), T.strip(quote) != ""
+    if not normalized:
+        return exact & present
+    return (exact | F.contains(T.receipt(passage), T.receipt(quote))) & present & (T.receipt(quote) != "")
 
 
 def citation_value(judged: Column, verbatim: Column, verified: Column) -> Column:

@@ -11,6 +11,8 @@ PROVIDER_CHARS = 3000
 PASSAGE_CANDIDATES = 4
 #: Worst case of four quoted passages, rounded up to a thousand.
 MIN_BUDGET = 7000
+#: Characters that the passages mode may take.
+MAX_PASSAGES_CHARS = 16_000
 
 
 def with_cost(hits: DataFrame, id_: str = "passage_id", kind: str = "kind", text: str = "text", most_chars: int | None = PROVIDER_CHARS) -> DataFrame:
@@ -19,6 +21,13 @@ def with_cost(hits: DataFrame, id_: str = "passage_id", kind: str = "kind", text
     return hits.withColumn("visible_chars", F.length(shown)).withColumn("item_chars", T.json_item_length(F.col(id_), F.col(kind), shown))
 
 
+def checked_budget(budget: int) -> int:
+    """A budget for whole contexts must hold the worst case of the passages mode."""
+    if budget < MIN_BUDGET:
+        raise ValueError(f"a context needs {MIN_BUDGET} characters at least")
+    return budget
+
+
 def character_budget(hits: DataFrame, budget: int, query: str) -> DataFrame:
     """The ranked prefix whose serialized list fits the budget; stops at the first overflow.
 

@@ -65,21 +65,26 @@ def evidence_coverage(spans: DataFrame, case: str) -> tuple[DataFrame, DataFrame
 
 
 def coverage_loss(before: DataFrame, after: DataFrame, case: str) -> DataFrame:
-    """Groups covered before and not (or not known to be) after."""
-    lost = before.filter("covered").join(after.select(case, "group_id", F.col("covered").alias("after")), [case, "group_id"], "left")
-    return lost.filter(~F.coalesce("after", F.lit(False))).select(case, "group_id")
+    """Groups covered before that are ``lost`` (not covered) or ``unknown`` after: (case, group_id, change)."""
+    known = before.filter("covered").join(after.select(case, "group_id", F.col("covered").alias("after"), F.lit(True).alias("_there")), [case, "group_id"], "left")
+    change = F.when(F.col("_there").isNotNull() & F.col("after").isNull(), "unknown").when(~F.coalesce("after", F.lit(False)), "lost")
+    return known.select(case, "group_id", change.alias("change")).filter("change is not null")
 
 
-def paired_changes(before: DataFrame, after: DataFrame, case: str, value: str) -> DataFrame:
-    """One row per case of two runs over the same cases, with the outcome of the change."""
-    a = before.select(case, F.col(value).alias("before"))
-    return a.join(after.select(case, F.col(value).alias("after")), case).withColumn("outcome", paired_outcome(F.col("before"), F.col("after")))
+def paired_changes(before: DataFrame, after: DataFrame, case: str, deltas: Sequence[str] = ("group_coverage", "reciprocal_rank", "source_recall")) -> DataFrame:
+    """One row per case of two runs over the same cases: the differences of ``deltas`` and the outcome of the change.
 
-
-def unpaired(before: DataFrame, after: DataFrame, case: str) -> DataFrame:
-    """Cases of only one of two runs; a comparison needs that there are none."""
-    a, b = before.select(case).withColumn("_a", F.lit(True)), after.select(case).withColumn("_b", F.lit(True))
-    return a.join(b, case, "full").filter("_a is null or _b is null").select(case)
+    Both sides: case, ``error`` (null: none), ``available`` (the cutoff was measured) and the metrics (null: not
+    scored).  A case that only one side has, or has twice, fails the query.
+    """
+    side = lambda df, mark: df.groupBy(case).agg(F.count("*").alias(f"_n{mark}"), *[F.first(c).alias(f"{c}_{mark}") for c in ("error", "available", *deltas)])
+    rows = side(before, "a").join(side(after, "b"), case, "full")
+    paired = (F.col("_na") == 1) & (F.col("_nb") == 1)
+    both = F.col("available_a") & F.col("available_b")
+    differences = [F.when(both, F.col(f"{c}_b") - F.col(f"{c}_a")) for c in deltas]
+    outcome = paired_outcome(F.col("error_a").isNotNull(), F.col("error_b").isNotNull(), both, F.array(*differences))
+    guarded = F.when(F.coalesce(paired, F.lit(False)), outcome).otherwise(F.raise_error(F.lit("a paired comparison needs each case once on both sides")))
+    return rows.select(case, *[d.alias(f"{c}_delta") for c, d in zip(deltas, differences, strict=True)], guarded.alias("outcome"))
 
 
 def holm(tests: DataFrame, p: str, order: Sequence[str]) -> DataFrame:
@@ -87,3 +92,16 @@ def holm(tests: DataFrame, p: str, order: Sequence[str]) -> DataFrame:
     ordered = ", ".join([p, *order])
     ranked = tests.selectExpr("*", f"row_number() over (order by {ordered}) as _r", "count(*) over () as _m")
     return ranked.selectExpr("*", f"least(1.0D, max((_m - _r + 1) * {p}) over (order by _r rows unbounded preceding)) as p_holm").drop("_r", "_m")
+
+
+def asked_only(groups: DataFrame, id_: str) -> DataFrame:
+    """The groups that a question asks for: those whose id begins with ``part-``."""
+    return groups.filter(F.startswith(F.col(id_), F.lit("part-")))
+
+
+def set_differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key: how many distinct values only one side has, and whether the sets are the same."""
+    sides = [df.select(key, value).distinct().withColumn(mark, F.lit(True)) for df, mark in ((a, "_a"), (b, "_b"))]
+    joined = sides[0].join(sides[1], [key, value], "full").groupBy(key)
+    only = F.count_if(F.col("_b").isNull()), F.count_if(F.col("_a").isNull())
+    return joined.agg(only[0].alias("only_first"), only[1].alias("only_second"), (only[0] + only[1] == 0).alias("same"))

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
+from attestor.functions.shared import stored
 from attestor.functions.shipping import map_batches, ship
 
-#: Queries whose vectors go to every task at once.
-QUERY_BLOCK = 2048
+#: Characters of a short needle by which it meets words.
+GRAM = 3
+#: Queries that are multiplied at once, with how many vectors.
+QUERY_BLOCK, VECTORS = 1024, 1 << 14
 
 
 def ranked(hits: DataFrame, limit: int, query: str, score: str, order: Sequence[str]) -> DataFrame:
@@ -31,69 +37,97 @@ def term_counts(rows: DataFrame, keys: Sequence[str], text: str = "text", stop_w
     return terms.filter("term is not null").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(passages: DataFrame, questions: DataFrame, key: Sequence[str], query: str, stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
-    """Cosine of TF-IDF vectors for every question and passage that share a term: (query, *key, score).
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Postings (term, *key, weight: its share of the passage's unit vector) and terms (term, df, idf), as stored tables."""
+
+    postings: DataFrame
+    terms: DataFrame
+    key: tuple[str, ...]
+    stop_words: tuple[str, ...]
+
+    def search(self, questions: DataFrame, query: str) -> DataFrame:
+        """Cosine for every question (``query``, text) and passage that share a term: (query, *key, score).
+
+        Only postings of the questions' terms are read on; terms that no passage has are dropped.  A very
+        common term is a skewed key of an equi-join, which adaptive execution splits.
+        """
+        asked = term_counts(questions, [query], stop_words=self.stop_words)
+        wanted = asked.join(self.terms, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("wq"))
+        lengths = wanted.groupBy(query).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("normq"))
+        unit = wanted.join(lengths, query).select(query, "term", (F.col("wq") / F.col("normq")).alias("wq"))
+        dots = self.postings.join(unit, "term").groupBy(query, *self.key).agg(F.sum(F.col("weight") * F.col("wq")).alias("score"))
+        return dots.filter("score > 0")
+
 
-    An inverted index: terms of passages are joined with the questions' terms by equality.  Smooth
-    inverse frequency ln((1 + n) / (1 + df)) + 1; question terms that no passage has are dropped.
-    A very common term is a skewed key of an equi-join, which adaptive execution splits.
+def lexical_index(passages: DataFrame, key: Sequence[str], stop_words: Sequence[str] = T.STOP_WORDS) -> LexicalIndex:
+    """Build an inverted index of TF-IDF weights once: smooth inverse frequency ln((1 + n) / (1 + df)) + 1, unit length.
+
+    Passages are dealt by key before their terms are made, so that counting a passage's terms and summing its
+    vector need no further shuffle; what is shuffled by term is the counts for document frequencies, and
+    the postings, which are stored sorted by term.
     """
-    own = term_counts(passages, key, stop_words=stop_words)
-    asked = term_counts(questions, [query], stop_words=stop_words)
-    n = passages.agg(F.count("*").alias("_n"))
-    # Counting by tf keeps tf in this branch too: its exchange is then that of the weights below.
-    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n: one row
-    # Norms need every term: both sides lie by term already, and a hash join spares sorting them.  The
-    # weights of the questions' terms are kept with the norm, so the counts are gone through once.
-    sought = asked.select("term").distinct().withColumn("_sought", F.lit(True))
-    weighted = own.join(idf.hint("shuffle_hash"), "term").join(sought, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
-    kept = F.collect_list(F.when(F.col("_sought"), F.struct("term", "w"))).alias("_kept")  # as many as a passage has terms
-    vectors = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), kept)
-    rows = vectors.select(*key, "norm", F.explode("_kept").alias("t")).select(*key, "norm", "t.term", "t.w")
-    wanted = asked.join(idf, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("wq"))
-    lengths = wanted.groupBy(query).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("normq"))
-    dots = rows.join(wanted, "term").groupBy(query, *key, "norm").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    scored = dots.join(lengths, query)
-    return scored.select(query, *key, (F.col("dot") / (F.col("norm") * F.col("normq"))).alias("score")).filter("score > 0")
-
-
-def _best(ids: list, matrix: np.ndarray, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = passages.select(*key, "text").repartition(n, *key)
+    own = term_counts(dealt, key, stop_words=stop_words)
+    total = passages.agg(F.count("*").alias("_n"))
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    idf = (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")
+    terms = stored(df.join(F.broadcast(total)).select("term", "df", idf), "terms")  # total: one row
+    weighted = own.join(terms, "term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vectors = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("t"))  # a passage's terms
+    rows = vectors.select(*key, "norm", F.explode("t").alias("t")).select("t.term", *key, (F.col("t.w") / F.col("norm")).alias("weight"))
+    return LexicalIndex(stored(rows.repartition(n, "term").sortWithinPartitions("term"), "postings"), terms, tuple(key), tuple(stop_words))
+
+
+def tfidf(passages: DataFrame, questions: DataFrame, key: Sequence[str], query: str, stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
+    """Cosine of TF-IDF vectors for every question and passage that share a term, by an index built for this call."""
+    return lexical_index(passages, key, stop_words).search(questions, query)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best(paths: list[str], limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every query of the files the best of some VECTORS at once, ties included: their order is settled later."""
+    held: list[pa.RecordBatch] = []
+
+    def scored() -> Iterator[pa.RecordBatch]:
+        names, vectors = np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([_rows(b.column(1)) for b in held])
+        for path in paths:
+            store, inside = fs.FileSystem.from_uri(path)
+            with pq.ParquetFile(store.open_input_file(inside)) as file:
+                for block in file.iter_batches(QUERY_BLOCK):
+                    ids, scores = block.column(0).to_numpy(), np.clip(_rows(block.column(1)) @ vectors.T, -1, 1)
+                    if len(names) > limit:
+                        bound = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1, None]
+                        rows, columns = np.nonzero(scores >= bound - 1e-9)
+                    else:
+                        rows, columns = np.indices(scores.shape).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(names[columns]), pa.array(scores[rows, columns])], names=["query_id", "vec_id", "score"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = np.array(batch.column(0).to_pylist())
-        vectors = np.array(batch.column(1).to_pylist(), np.float64)
-        scores = np.clip(matrix @ vectors.T, -1, 1)
-        if len(names) > limit:
-            # Everything down to the limit-th score, ties included: the order of ties is settled later.
-            bound = -np.partition(-scores, limit - 1, axis=1)[:, limit - 1, None]
-            rows, columns = np.nonzero(scores >= bound - 1e-9)
-        else:
-            rows, columns = np.indices(scores.shape).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[rows]), pa.array(names[columns]), pa.array(scores[rows, columns])], names=["query_id", "vec_id", "score"])
-
-
-def dense(queries: DataFrame, vectors: DataFrame, limit: int, block: int = QUERY_BLOCK) -> DataFrame:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= VECTORS:
+            yield from scored()
+            held = []
+    if held:
+        yield from scored()
+
+
+def dense(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """Exact top ``limit`` by inner product of (query_id long, vector) and (vec_id long, vector).
 
-    Queries are taken in blocks of bounded size; each task multiplies a block with a batch of vectors
-    and passes on the batch's best.  Blank questions have no vector and so no hits.
+    The queries are written once to the shared folder; each task reads them block by block (QUERY_BLOCK) for
+    every VECTORS vectors that it holds, and passes on the best.  Vectors are gone through once, and no
+    query reaches the driver.  Blank questions have no vector and so no hits.
     """
-    found, rows = None, []
-
-    def scan() -> DataFrame:
-        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-        return map_batches(vectors.select("vec_id", "vector"), partial(_best, ids, matrix, limit), "query_id long, vec_id long, score double")
-
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            found, rows = scan() if found is None else found.unionAll(scan()), []
-    if rows:
-        found = scan() if found is None else found.unionAll(scan())
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    asked = stored(queries.select("query_id", "vector").filter("vector is not null"), "queries")
+    rows = vectors.select("vec_id", "vector").filter("vector is not null")
+    found = map_batches(rows, partial(_best, [str(p) for p in asked.inputFiles()], limit), "query_id long, vec_id long, score double")
     return ranked(found, limit, "query_id", "score", ["vec_id"])
 
 
@@ -146,14 +180,27 @@ def diverse(pool: DataFrame, limit: int, diversity: float) -> DataFrame:
 
 
 def containing(texts: DataFrame, needles: DataFrame, id_: str, needle_id: str) -> DataFrame:
-    """Pairs (id, needle_id) where the text contains the needle's text.
+    """Pairs (id, needle_id) where the text contains the needle's text; ids of both are unique.
 
-    Needles meet texts by one of their inner words (the longest; it stands between white space in
-    any text that contains the needle); needles of fewer than three words are compared one by one.
+    A needle meets texts by a key that any text with it has too: an inner word (the longest; it stands between
+    white space), for a needle of one or two words the first GRAM characters of the longer word (part of some word
+    of the text), for a blank needle its first character, for an empty one nothing.  Only ids and keys are
+    exploded and joined; texts are compared once a pair of ids is known.
     """
-    own = needles.select(needle_id, F.col("text").alias("needle"), T.words(F.col("text")).alias("w"))
-    inner = F.array_sort(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(1))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    anchored = own.filter("size(w) > 2").select(needle_id, "needle", inner[0]["w"].alias("anchor"))
-    found = texts.select(id_, "text", F.explode(F.array_distinct(T.words(F.col("text")))).alias("anchor")).join(anchored, "anchor")
-    short = texts.join(own.filter("size(w) between 1 and 2"), F.contains("text", "needle"))
-    return found.filter(F.contains("text", "needle")).select(id_, needle_id).unionAll(short.select(id_, needle_id)).distinct()
+    own = needles.select(needle_id, F.col("text").alias("needle"), T.words(F.col("text")).alias("w")).filter("needle is not null")
+    longest = lambda words: F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    size = F.size("w")
+    inner, short = F.slice("w", 2, F.greatest(size - 2, F.lit(1))), F.substring(longest(F.col("w")), 1, GRAM)
+    key = F.when(size > 2, longest(inner)).when(size > 0, short).otherwise(F.substring("needle", 1, 1))
+    kind = F.when(size > 2, "word").when(size > 0, "gram").otherwise("blank")
+    keyed = own.select(needle_id, kind.alias("kind"), key.alias("key"))
+    words = texts.select(id_, F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*[F.substring(F.col("word"), i, F.lit(n)) for n in range(1, GRAM + 1)])))))
+    sides = {
+        "word": words.select(id_, F.col("word").alias("key")),
+        "gram": words.select(id_, grams.alias("key")),
+        "blank": texts.select(id_, F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(r"(?U)[\s\x1C-\x1F]"), F.lit(0)))).alias("key")),
+    }
+    pairs = reduce(DataFrame.unionAll, [side.join(keyed.filter(F.col("kind") == k).drop("kind"), "key").select(id_, needle_id) for k, side in sides.items()]).distinct()
+    met = texts.select(id_, "text").join(pairs, id_).join(own.select(needle_id, "needle"), needle_id)
+    return met.filter(F.contains("text", "needle")).select(id_, needle_id)

@@ -53,13 +53,12 @@ def cutoff_summary(spark, sf_dir):
 
 
 @query("with " + _METRICS_SQL + """,
-pairs as (select a.item_id, a.recall as before, b.recall as after from metrics a join metrics b on a.item_id = b.item_id and a.k = 1 and b.k = 10)
-select case when before is null and after is null then 'both-failed' when after is null then 'failed' when before is null then 'recovered'
-            when after > before + 1e-12 then 'improved' when after < before - 1e-12 then 'worsened' else 'unchanged' end as outcome, count(*) as cases
-from pairs group by 1""")
+pairs as (select a.item_id, b.recall - a.recall as d, b.reciprocal_rank - a.reciprocal_rank as r from metrics a join metrics b on a.item_id = b.item_id and a.k = 1 and b.k = 10)
+select case when d is null and r is null then 'not-scored' when greatest(d, r) > 1e-12 and least(d, r) < -1e-12 then 'mixed' when greatest(d, r) > 1e-12 then 'improved' when least(d, r) < -1e-12 then 'worsened' else 'unchanged' end as outcome,
+  count(*) as cases from pairs group by 1""")
 def paired_changes(spark, sf_dir):
-    rows = _metrics(spark, sf_dir)
-    changes = E.paired_changes(rows.filter("k = 1"), rows.filter("k = 10"), "item_id", "recall")
+    rows = _metrics(spark, sf_dir).withColumn("error", F.lit(None).cast("string")).withColumn("available", F.lit(True))
+    changes = E.paired_changes(rows.filter("k = 1"), rows.filter("k = 10"), "item_id", ["recall", "reciprocal_rank"])
     return changes.groupBy("outcome").agg(F.count("*").alias("cases"))
 
 
@@ -126,7 +125,7 @@ def evidence_coverage(spark, sf_dir):
 
 
 @query("with " + _SPANS_SQL + _coverage_sql(10, "wide") + _coverage_sql(1, "narrow") + """
-select item_id, group_id from wide_groups w left join (select item_id, group_id, covered as after from narrow_groups) n using (item_id, group_id) where covered and not coalesce(after, false)""")
+select item_id, group_id, case when n.item_id is not null and after is null then 'unknown' else 'lost' end as change from wide_groups w left join (select item_id, group_id, covered as after from narrow_groups) n using (item_id, group_id) where covered and not coalesce(after, false)""")
 def coverage_loss(spark, sf_dir):
     return E.coverage_loss(_coverage(spark, sf_dir, 10)[0], _coverage(spark, sf_dir, 1)[0], "item_id")
 
@@ -376,9 +375,9 @@ _TIERS = (("full", 1, 10.0), ("standard", 2, 5.0), ("light", 3, 2.5), ("minimal"
 @query(f"""select o_orderkey as request, arg_min(name, priority) as tier from orders join (select unnest({[t[0] for t in _TIERS]}) as name, unnest({[t[1] for t in _TIERS]}) as priority, unnest({[t[2] for t in _TIERS]}) as need) t
   on need <= o_totalprice / 30000 group by o_orderkey""")
 def tier_choice(spark, sf_dir):
-    tiers = spark.createDataFrame(_TIERS, "name string, priority int, need double")
-    fits = table(spark, sf_dir, "orders").join(F.broadcast(tiers), F.col("need") <= F.col("o_totalprice") / 30000)  # four rows
-    return fits.groupBy(F.col("o_orderkey").alias("request")).agg(F.min_by("name", "priority").alias("tier"))
+    memory = F.col("o_totalprice") / 30000
+    choice = F.coalesce(*[F.when(memory >= need, name) for name, _, need in _TIERS])  # in order of priority
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), choice.alias("tier")).filter("tier is not null")
 
 
 @query("""with r as (select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)),

@@ -32,12 +32,22 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.containing(docs.select("doc_id", "text"), items, "doc_id", "item_id")
 
 
+_indexes: dict[tuple[str, str], R.LexicalIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> R.LexicalIndex:
+    """The lexical index of a folder's passages, built and stored once an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        # Numbers travel through the shuffles; the passage's id is put together at the end.
+        _indexes[key] = R.lexical_index(passages(spark, sf_dir).select(*ORDER, "text"), ORDER)
+    return _indexes[key]
+
+
 def lexical(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     """item_id, passage_id, place in artifact order, score, rank."""
-    # Numbers travel through the shuffles; the passage's id is put together at the end.
-    scored = R.tfidf(passages(spark, sf_dir).select(*ORDER, "text"), questions(spark, sf_dir), ORDER, "item_id")
     name = F.concat(F.lit("d"), "doc_id", F.lit(":p"), "paragraph", F.lit(":w"), "word_offset")
-    return R.ranked(scored, limit, "item_id", "score", ORDER).withColumn("passage_id", name)
+    return R.ranked(index(spark, sf_dir).search(questions(spark, sf_dir), "item_id"), limit, "item_id", "score", ORDER).withColumn("passage_id", name)
 
 
 PASSAGES_SQL = r"""

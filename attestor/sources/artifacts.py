@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators.retrieval import norm
@@ -102,6 +102,12 @@ def vector_faults(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     )
 
 
+def unit(vector: Column) -> Column:
+    """The vector divided by its length; a vector of zeros stays."""
+    length = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"), F.sqrt)
+    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

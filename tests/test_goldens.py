@@ -4,6 +4,7 @@ import json
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from attestor.functions import stats as S
@@ -69,9 +70,26 @@ def test_holm(spark):
 
 
 def test_outcomes(spark):
-    rows = spark.createDataFrame([(0.5, 1.0), (1.0, 0.5), (1.0, None), (None, 1.0), (None, None), (0.5, 0.5)], "a double, b double")
-    found = [r.o for r in rows.select(S.paired_outcome(F.col("a"), F.col("b")).alias("o")).collect()]
-    assert found == ["improved", "worsened", "failed", "recovered", "both-failed", "unchanged"]
+    rows = [(None, None, True, [0.5, 0.0]), (None, None, True, [-0.5, None]), (None, None, True, [0.1, -0.1]), (None, None, True, [None, 0.0]), (None, None, True, [None, None]), (None, "e", True, [0.5]), ("e", None, True, [0.5]), ("e", "e", False, [0.5]), (None, None, False, [0.5])]
+    made = spark.createDataFrame(rows, "a string, b string, ok boolean, d array<double>")
+    found = [r.o for r in made.select(S.paired_outcome(F.col("a").isNotNull(), F.col("b").isNotNull(), F.col("ok"), F.col("d")).alias("o")).collect()]
+    assert found == ["improved", "worsened", "mixed", "unchanged", "not-scored", "failed", "recovered", "both-failed", "unavailable"]
+
+
+def test_a_comparison_needs_the_same_cases(spark):
+    side = lambda ids: spark.createDataFrame([(i, None, True, 0.5) for i in ids], "case_id int, error string, available boolean, recall double")
+    assert [r.outcome for r in evaluation.paired_changes(side([1, 2]), side([2, 1]), "case_id", ["recall"]).collect()] == ["unchanged"] * 2
+    for other in ([1], [1, 2, 3], [1, 2, 2]):
+        with pytest.raises(PySparkException, match="each case once"):
+            evaluation.paired_changes(side([1, 2]), side(other), "case_id", ["recall"]).collect()
+
+
+def test_intervals_of_large_counts():
+    low, high = S.binomial_interval(500_000, 1_000_000)
+    assert (low, high) == pytest.approx((0.5 - 0.00098, 0.5 + 0.00098), abs=2e-6)
+    assert S.exact_p(5_000_000, 5_004_000) == pytest.approx(0.2061, abs=1e-3) and S.exact_p(10, 2_000_000) < 1e-300
+    with pytest.raises(ValueError):
+        S.binomial_interval(4, 3)
 
 
 def test_fusion_and_rerank(spark):
@@ -92,7 +110,7 @@ def test_diverse_choice(spark):
 def test_dense_order_and_ties(spark):
     vectors = spark.createDataFrame([(i, [1.0, 0.0] if i != 3 else [0.0, 1.0]) for i in range(5)], "vec_id long, vector array<double>")
     queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "query_id long, vector array<double>")
-    found = retrieval.dense(queries, vectors, 2, block=1).orderBy("query_id", "rank").collect()
+    found = retrieval.dense(queries, vectors, 2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in found] == [(7, 0), (7, 1), (8, 3), (8, 0)]
     assert retrieval.dense(queries.limit(0), vectors, 2).count() == 0
 

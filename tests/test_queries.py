@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from attestor.plans import evaluation_queries, registry, retrieval_queries  # noqa: F401
+from attestor.plans import evaluation_queries, registry, retrieval_queries, study_queries  # noqa: F401
 
 from .conftest import SMALL
 
