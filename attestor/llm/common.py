@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions.shared import discard, own_folder, stored  # noqa: F401
 from attestor.functions.shipping import map_batches  # noqa: F401
 
 #: Most classes that one broadcast of heavy keys may carry.
@@ -34,59 +31,6 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that setting is absent one is made on this machine, but only for a session whose tasks run
-    here too; on a cluster that is an error, as its hosts don't see each other's folders.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        known = context.getCheckpointDir()
-        if not known and not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
-        found = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="attestor-shared-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-_folders: dict[str, str] = {}
-
-
-def own_folder(spark: SparkSession) -> str:
-    """This application's part of the shared folder; it is deleted when the driver ends."""
-    context = spark.sparkContext
-    if (name := context.applicationId) not in _folders:
-        _folders[name] = f"{shared_folder(spark)}/attestor/{name}"
-        atexit.register(_delete, context._jvm, context._jsc.hadoopConfiguration(), _folders[name])
-    return _folders[name]
-
-
-def _delete(jvm, configuration, path: str) -> None:
-    try:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(configuration).delete(target, True)
-    except (Py4JError, OSError):  # the JVM has gone: the folder is left
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
-    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``stored`` that nothing reads any more."""
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            _delete(context._jvm, context._jsc.hadoopConfiguration(), folder)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
