@@ -10,7 +10,9 @@ goes on.  A group's sequences are as many full ones as its tokens fill, and powe
 left over (the binary digits of the rest), so that no sequence needs padding.
 
 Defined cases: null and empty texts are documents of one token (the end id); rows that repeat are
-packed as often as they occur; an empty table gives no pieces.
+packed as often as they occur; an empty table gives no pieces.  Which sequence a document gets depends on
+its partition and place there, so a partition that is computed again must hold the same rows in the same
+order: give a stored table or one that is sorted, as the pipeline does.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from attestor.llm import common, tokens
 CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 20
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, cost double"
@@ -107,7 +111,7 @@ def _pieces(path: str, end_id: int, capacity: int, group_tokens: int, batches: I
         first += 1 + max(r[3] for r in rows)
         return batch
 
-    for batch in common.slices(batches, "text", tokens.BATCH_BYTES):
+    for batch in common.slices(batches, "text", BATCH_BYTES):
         if first is None:
             first = batch.column(2)[0].as_py() << 33  # sequence ids of other partitions lie apart
         for name, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
