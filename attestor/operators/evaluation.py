@@ -48,7 +48,7 @@ def span_visibility(spans: DataFrame, supplied: DataFrame, ranges: DataFrame, qu
     """
     present = supplied.select(query, "passage_id").distinct().withColumn("_supplied", F.lit(True))
     joined = spans.join(present, [query, "passage_id"], "left").join(ranges.select("passage_id", "retained"), "passage_id", "left")
-    reach = F.aggregate("retained", F.col("start"), lambda at, r: F.when((r["start"] <= at) & (r["end"] > at), r["end"]).otherwise(at))
+    reach = F.aggregate("retained", F.col("start").cast("bigint"), lambda at, r: F.when((r["start"] <= at) & (r["end"] > at), r["end"].cast("bigint")).otherwise(at))
     return joined.withColumn("visible", F.when(F.col("_supplied").isNull(), False).when(F.col("retained").isNotNull(), reach >= F.col("end"))).drop("_supplied", "retained")
 
 
@@ -105,3 +105,13 @@ def set_differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFra
     joined = sides[0].join(sides[1], [key, value], "full").groupBy(key)
     only = F.count_if(F.col("_b").isNull()), F.count_if(F.col("_a").isNull())
     return joined.agg(only[0].alias("only_first"), only[1].alias("only_second"), (only[0] + only[1] == 0).alias("same"))
+
+
+def run_pairs(runs: DataFrame, ids: DataFrame, run: str, id_: str) -> DataFrame:
+    """Each unordered pair of ``runs`` (a small table) with how many of ``ids`` (run, id; distinct) both have and whether the first's are all in the second."""
+    sides = [runs.join(ids.groupBy(run).agg(F.count("*").alias("n")), run, "left").fillna(0, ["n"]) for _ in "ab"]
+    a, b = (df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns]) for df, side in zip(sides, "ab", strict=True))
+    met = ids.select(F.col(run).alias(f"{run}_a"), id_).join(ids.select(F.col(run).alias(f"{run}_b"), id_), id_).filter(F.col(f"{run}_a") < F.col(f"{run}_b"))
+    shared = met.groupBy(f"{run}_a", f"{run}_b").agg(F.count("*").alias("shared"))
+    pairs = a.join(b, F.col(f"{run}_a") < F.col(f"{run}_b")).join(shared, [f"{run}_a", f"{run}_b"], "left").fillna(0, ["shared"])
+    return pairs.withColumn("subset", F.col("shared") == F.col("n_a"))

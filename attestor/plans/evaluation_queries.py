@@ -79,7 +79,8 @@ def reference_targets(spark, sf_dir):
 
 
 # Evidence: every line of an item is a group, every document that contains the item an alternative, every
-# passage of it with the line a span.  Passages of documents divisible by 7 were not measured.
+# passage of it with the line a span.  As stand-ins, passages of documents divisible by 7 were not measured by the
+# encoder, and what it retained of the others are their two halves.
 def _spans(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("group_id", "line"))
     lines = items.select("item_id", "group_id", T.normalize_space(F.col("line")).alias("line")).filter("line <> ''")
@@ -89,8 +90,8 @@ def _spans(spark, sf_dir):
 
 
 def _ranges(spark, sf_dir):
-    rows = I.passages(spark, sf_dir).filter("doc_id % 7 <> 0")
-    return rows.select("passage_id", F.expr("array(named_struct('start', 0, 'end', 300), named_struct('start', 300, 'end', 600))").alias("retained"))
+    rows = I.passages(spark, sf_dir).filter("doc_id % 7 <> 0").withColumn("n", F.length("text"))
+    return rows.select("passage_id", F.expr("array(named_struct('start', 0, 'end', n div 2), named_struct('start', n div 2, 'end', cast(n as bigint)))").alias("retained"))
 
 
 def _coverage(spark, sf_dir, k):
@@ -105,7 +106,7 @@ _AND, _OR = (lambda v: _K.format(no=f"not {v}", v=v, first="false", last="true")
 def _coverage_sql(k: int, name: str) -> str:
     return f""",
 {name}_seen as (
-  select s.*, case when h.passage_id is null then false when s.alternative % 7 <> 0 then greatest(case when "start" < 600 then 600 else "start" end, 0) >= "end" end as visible
+  select s.*, case when h.passage_id is null then false when s.alternative % 7 <> 0 then length(s.text) >= "end" end as visible
   from spans s left join (select distinct item_id, passage_id from hits where rank <= {k}) h using (item_id, passage_id)),
 {name}_alt as (select item_id, group_id, alternative, {_AND("visible")} as covered from {name}_seen group by all),
 {name}_groups as (select item_id, group_id, {_OR("covered")} as covered from {name}_alt group by all),
@@ -338,15 +339,16 @@ def audit_summary(spark, sf_dir):
     return rows.groupBy(F.col("m.metric").alias("metric"), mode.alias("mode")).agg(F.count("*").alias("n"))
 
 
-# Runs: the lists of sources of each language in two halves of the documents.
-@query("""with r as (select source as run, list_sort(list(distinct lang)) as langs, list_sort(list(distinct doc_id % 40)) as marks from documents group by source)
-select a.run as run_a, b.run as run_b, cast(len(list_intersect(a.marks, b.marks)) as int) as shared, len(list_filter(a.marks, lambda x: not list_contains(b.marks, x))) = 0 as subset, a.langs = b.langs as same_langs
-from r a join r b on a.run < b.run""")
+# Runs: the sources of documents, each with its set of distinct texts.
+@query("""with r as (select distinct source, sha256(text) as h from documents), n as (select source, count(*) as n from r group by source), l as (select source, list_sort(list(distinct lang)) as langs from documents group by source),
+s as (select a.source as run_a, b.source as run_b, count(*) as shared from r a join r b on a.h = b.h and a.source < b.source group by all)
+select a.source as run_a, b.source as run_b, coalesce(shared, 0) as shared, coalesce(shared, 0) = n.n as subset, a.langs = b.langs as same_langs
+from l a join l b on a.source < b.source join n on n.source = a.source left join s on s.run_a = a.source and s.run_b = b.source""")
 def run_pairs(spark, sf_dir):
-    runs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("run")).agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_set(F.col("doc_id") % 40)).alias("marks"))
-    a, b = (runs.select(*[F.col(c).alias(f"{c}_{side}") for c in runs.columns]) for side in "ab")
-    pairs = a.join(b, F.col("run_a") < F.col("run_b"))
-    return pairs.select("run_a", "run_b", F.size(F.array_intersect("marks_a", "marks_b")).alias("shared"), A.ids_known(F.col("marks_a"), F.col("marks_b")).alias("subset"), (F.col("langs_a") == F.col("langs_b")).alias("same_langs"))
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("source").alias("run"), F.sha2("text", 256).alias("h")).distinct()
+    runs = docs.groupBy(F.col("source").alias("run")).agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    return E.run_pairs(runs, texts, "run", "h").select("run_a", "run_b", "shared", "subset", (F.col("langs_a") == F.col("langs_b")).alias("same_langs"))
 
 
 @query("""select event_type, count(distinct rankings) = 1 as stable from (
