@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,23 @@ def quality_report(scores: DataFrame, run: str, cohort: str, metric: str, value:
     grouped = scores.groupingSets([[F.col(run), F.col(metric)], [F.col(run), F.col(metric), F.col(cohort)]], F.col(run), F.col(metric), F.col(cohort))
     out = grouped.agg(F.grouping(cohort).alias("_all"), F.count_if(F.col(value)).alias("successes"), F.count(value).alias("scored"), (F.count(F.lit(1)) - F.count(value)).alias("unscored"))
     return out.select(run, metric, F.when(F.col("_all") == 1, "all").otherwise(F.col(cohort)).alias("cohort"), "successes", "scored", "unscored")
+
+
+# What a reader is shown for each status.
+HEADINGS = {
+    "answered": "Answer with source references",
+    "insufficient_evidence": "Insufficient evidence",
+    "no_matches": "No matching passages",
+    "passages_found": "Retrieved passages",
+}
+
+
+def heading(status: Column) -> Column:
+    """What a reader is shown for a status; nothing for an unknown one."""
+    return reduce(lambda c, pair: c.when(status == pair[0], pair[1]), HEADINGS.items(), F.when(F.lit(False), ""))
+
+
+def cited(sections: Column, visible: Column) -> Column:
+    """Each section's citations, in order: struct<section, citation_id, number>; the number is the passage's place from 1 (0: not shown)."""
+    ids = F.transform(visible, lambda p: p["id"])
+    return F.flatten(F.transform(sections, lambda s, i: F.transform(s["citation_ids"], lambda c: F.struct(i.alias("section"), c.alias("citation_id"), F.array_position(ids, c).cast("int").alias("number")))))

@@ -158,6 +158,16 @@ def answer_status(spark, sf_dir):
     return rows.select("conv_id", "turn", A.answer_valid(F.col("status"), F.col("sections"), F.col("cited"), F.array(F.lit("p1"), F.lit("p2"))).alias("valid"))
 
 
+@query("with " + _STUDY_SQL + """
+select conv_id, turn, cast(i as int) as section, id as citation_id, cast(case id when 'p1' then 1 when 'p2' then 2 else 0 end as int) as number,
+  case status when 'answered' then 'Answer with source references' when 'insufficient_evidence' then 'Insufficient evidence' end as heading
+from (select *, unnest(sections[i + 1].ids) as id from (select *, unnest(range(0, len(sections))) as i from judged))""")
+def citations_shown(spark, sf_dir):
+    rows = _study(spark, sf_dir)
+    each = rows.select(*KEYS, A.heading(F.col("status")).alias("heading"), F.explode(A.cited(F.col("sections"), F.col("visible"))).alias("c"))
+    return each.select(*KEYS, "c.section", "c.citation_id", "c.number", "heading")
+
+
 # Cases with passage references: the passages that hold a line of the item, in the documents that hold the item.
 def _cases(spark, sf_dir):
     kind = F.when(F.col("item_id") % 3 == 0, "paraphrase").when(F.col("item_id") % 3 == 1, "exact-terminology")
