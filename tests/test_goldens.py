@@ -3,6 +3,7 @@
 import json
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -262,3 +263,23 @@ def test_streaming_ingest_adds_nothing_twice(spark, tmp_path):
         ingest.ingest(ingest.passages_stream(spark, source, schema), target, str(tmp_path / "checkpoint")).awaitTermination()
     rows = spark.read.parquet(target)
     assert rows.count() == rows.select("passage_id").distinct().count() == 6
+
+
+def test_bootstrap_is_that_of_all_draws_at_once(monkeypatch):
+    from attestor.operators import bootstrap
+
+    values = np.array([0.5, -0.25, 0.0, 1.0, -1.0, 0.125, 0.75])
+    draws = np.random.default_rng(20261013).integers(0, 7, (10_000, 7))
+    expected = tuple(np.quantile(values[draws].mean(1), [0.025, 0.975]))
+    assert bootstrap.interval(values, 10_000, bootstrap.SEED) == pytest.approx(expected)
+    monkeypatch.setattr(bootstrap, "HELD", 1000)
+    assert bootstrap.interval(values, 10_000, bootstrap.SEED) == pytest.approx(expected)
+
+
+def test_containing_needles_of_all_sizes(spark):
+    texts = ["the quick brown fox", "quickly browned  butter", "a\tb", "", "x", "fox\njumps over", "brown  fox", "É lan été"]
+    needles = ["quick brown fox", "quick", "k b", "rown f", "brown  fox", " ", "\t", "", "  ", "x", "ox jumps", "ox\nju", "zebra", "an é", "uickly browned  butt", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    asked = spark.createDataFrame(list(enumerate(needles)), "item_id int, text string")
+    found = {(r.doc_id, r.item_id) for r in retrieval.containing(docs, asked, "doc_id", "item_id").collect()}
+    assert found == {(d, i) for d, t in enumerate(texts) for i, n in enumerate(needles) if n is not None and n in t}
