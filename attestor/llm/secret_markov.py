@@ -48,6 +48,8 @@ MIN_TOKEN = 16
 LEAST_RATIO = 2.0
 SAMPLE_DOCS, SAMPLE_STRINGS = 2_000, 2_000
 SMOOTHING = 0.5
+#: Matches of a text that are gathered together.
+BLOCK = 128
 
 
 def matches(text: Column, pattern: str, groups: tuple[int, ...] = (), needed: Column | None = None) -> Column:
@@ -66,9 +68,17 @@ def matches(text: Column, pattern: str, groups: tuple[int, ...] = (), needed: Co
         one = F.array(F.struct(start.alias("start"), end.alias("end"), *[row[n].alias(n) for n in names]))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.when(row["text"].isNotNull(), one).otherwise(F.array().cast(kind))).alias("out"))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
+
+    def block(acc: Column, own: Column) -> Column:
+        # A text may hold very many matches: they are gathered BLOCK at a time, not one by one.
+        done = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))[0]
+
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    blocks = F.transform(F.array(rows), lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), lambda b: F.slice(r, b * BLOCK + 1, BLOCK)))[0]
     present = text.rlike(pattern) if needed is None else needed & text.rlike(pattern)
-    return F.when(present, F.aggregate(rows, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(present, F.aggregate(blocks, first, block, lambda acc: acc["out"])).otherwise(none)
 
 
 def _spans(found: Column, kind: int) -> Column:
