@@ -8,7 +8,8 @@ numpy follows for all rows and trees at once.
 
 Defined cases: a null text has the statistics of an empty one; labels that are null are left out, of
 several labels of a doc_id the mean counts (1 from 0.5 on); with no label the score is 0.5
-everywhere, with one kind of label near that kind; rows that repeat are scored each by itself.
+everywhere, with one kind of label near that kind; rows that repeat are scored each by itself; of rows
+that repeat a labelled doc_id the least vector of statistics is trained on.
 """
 
 from __future__ import annotations
