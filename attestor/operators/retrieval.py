@@ -131,6 +131,25 @@ def dense(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     return ranked(found, limit, "query_id", "score", ["vec_id"])
 
 
+def pooled(tokens: Column, mask: Column, how: str = "mean") -> Column:
+    """One unit vector from a model's token vectors (array of arrays) and their mask (array of 0 and 1).
+
+    ``mean`` of the tokens under the mask, the ``first`` token, or the ``last`` one under the mask; a text without a token under
+    the mask has a vector of zeros.
+    """
+    used = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda t: t["m"] == 1)
+    zeros = F.transform(tokens[0], lambda x: F.lit(0.0))
+    if how == "mean":
+        total = F.aggregate(used, zeros, lambda acc, t: F.zip_with(acc, t["v"], lambda a, b: a + b.cast("double")))
+    elif how in ("first", "last"):
+        chosen = tokens[0] if how == "first" else F.try_element_at(used, F.lit(-1))["v"]
+        total = F.coalesce(F.transform(chosen, lambda x: x.cast("double")), zeros)
+    else:
+        raise ValueError("pooling is mean, first or last")
+    length = F.aggregate(total, F.lit(0.0), lambda acc, x: acc + x * x, F.sqrt)  # the mean's divisor cancels here
+    return F.transform(total, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+
+
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 

@@ -57,6 +57,19 @@ def encoded(texts: DataFrame, id_: str, factory: Callable[[], Encode]) -> DataFr
     return rows.mapInPandas(partial(_encoded, factory), f"id {kind}, vector array<double>")
 
 
+def _counted(factory: Callable[[], Callable[[list[str]], Sequence[int]]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    count = factory()
+    for batch in batches:
+        yield pd.DataFrame({"id": batch["id"], "tokens": list(count(batch["text"].tolist()))})
+
+
+def token_counts(texts: DataFrame, id_: str, factory: Callable[[], Callable[[list[str]], Sequence[int]]]) -> DataFrame:
+    """(id, tokens): how many tokens a tokenizer, a plug-in like the encoder, makes of each text; an estimate of what a provider bills."""
+    ship(texts.sparkSession)
+    rows = texts.select(F.col(id_).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(partial(_counted, factory), f"id {dict(rows.dtypes)['id']}, tokens long")
+
+
 def _named(hits: DataFrame, passages: DataFrame, limit: int) -> DataFrame:
     """Hits over artifact places as hits over passages, ranked by score and place."""
     ranked = retrieval.ranked(hits, limit, "query_id", "score", [ORDER])

@@ -134,3 +134,18 @@ def test_tiers(tmp_path):
 def test_passages_without_measurement(spark, passages):
     hits = spark.createDataFrame([(1, "d0:p1:w0"), (1, "d0:p2:w0")], "query_id int, passage_id string")
     assert [r.passage_id for r in runner.unmeasured(hits, passages.filter("ord = 0")).collect()] == ["d0:p2:w0"]
+
+
+def test_pooling(spark):
+    from attestor.operators.retrieval import pooled
+
+    rows = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "t array<array<float>>, m array<int>")
+    found = rows.select(*[pooled(F.col("t"), F.col("m"), how).alias(how) for how in ("mean", "first", "last")]).collect()
+    assert found[0].mean == pytest.approx([0.6, 0.8]) and found[0].first == [1, 0] and found[0].last == [0, 1]
+    assert found[1].mean == [0, 0] and found[1].last == [0, 0] and found[1].first == pytest.approx([0.5**0.5] * 2)
+    with pytest.raises(ValueError):
+        pooled(F.col("t"), F.col("m"), "max")
+
+
+def test_token_counts(questions):
+    assert {r.id: r.tokens for r in runner.token_counts(questions, "query_id", lambda: lambda texts: [len(t.split()) for t in texts]).collect()} == {1: 7, 2: 2, 3: 0, 4: 2}
