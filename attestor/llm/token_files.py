@@ -42,6 +42,8 @@ END_ID = 2
 #: Ids after which a block is closed (a document is never divided).
 BLOCK_IDS = 2_000_000
 
+#: Chunks that a worker remembers.
+MEMO_CHUNKS = 1_200_000
 #: Documents whose places are looked up together, and bytes of ids that are read at once (one document at least).
 READ_DOCS, READ_BYTES = 1024, 1 << 20
 
@@ -176,7 +178,7 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _blocks(path: str, end_id: int, block_ids: int, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = tokens.encoder(path)
+    encoder = tokens.encoder(path, MEMO_CHUNKS)
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("path", pa.string())])
     store, inside = _file_system(folder)
     attempt = uuid.uuid4().hex
@@ -223,9 +225,9 @@ def write_blocks(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("within", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
-        for part, number, path in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for path, before in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             store, inside = _file_system(path)
             with store.open_input_file(inside) as file:
                 block = Block(file)
@@ -238,22 +240,22 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         cuts = (starts[at : stop + 1] - starts[at]).tolist()
                         crc += [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                         at = stop
-                    yield common.one_batch(schema, {"part": [part] * n, "block": [number] * n, "doc_id": names, "within": starts[:-1], "n_tokens": np.diff(starts), "ids_crc32": crc})
+                    yield common.one_batch(schema, {"doc_id": names, "start": starts[:-1] + before, "n_tokens": np.diff(starts), "ids_crc32": crc})
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
     """One row per document, read from the files of a manifest: doc_id, start, n_tokens, ids_crc32.
 
-    Only these few numbers are joined with the files' offsets, never the ids.
+    How many ids lie before each file is told to its reader, so nothing of the documents is joined.
     """
     counts = blocks.select("part", "block", "n_ids")
-    # A prefix sum over as many rows as blocks, in two steps: ranges of doc_id, then the blocks of each.
+    # A prefix sum over as many rows as files, in two steps: ranges of doc_id, then the files of each.
     by_part = counts.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
     before = by_part.selectExpr("part", "coalesce(sum(of_part) over (order by part rows between unbounded preceding and 1 preceding), 0) as before_part")
-    within = counts.selectExpr("part", "block", "coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0) as before_block")
-    offsets = within.join(before, "part").selectExpr("part", "block", "before_part + before_block as before")
-    rows = common.map_batches(blocks.select("part", "block", "path").repartition(common.partitions(blocks.sparkSession), "path"), _documents, "part int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(offsets, ["part", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    within = blocks.selectExpr("part", "path", "coalesce(sum(n_ids) over (partition by part order by block rows between unbounded preceding and 1 preceding), 0) as before_block")
+    files = within.join(before, "part").selectExpr("path", "before_part + before_block as before")
+    dealt = files.repartition(common.partitions(blocks.sparkSession), "path")
+    return common.map_batches(dealt, _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -43,7 +43,8 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """``encode(texts)`` gives the ids of every text as an array of little-endian unsigned 16 bit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_chunks: int = MEMO_CHUNKS):
+        self.most_chunks = most_chunks
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -123,7 +124,7 @@ class Encoder:
                 tails[tail] = self.whole(tail)
             found[c] = (found.get(base) or memo[base]) + tails[tail]
         found.update(self.learn(others, self.lead))
-        if len(memo) > MEMO_CHUNKS:
+        if len(memo) > self.most_chunks:
             memo.clear()
         memo.update(found)
         for c in [c for c in others if len(c) > MEMO_CHARS]:
@@ -174,6 +175,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_chunks: int = MEMO_CHUNKS) -> Encoder:
     """One encoder a Python worker."""
-    return Encoder(path)
+    return Encoder(path, most_chunks)
