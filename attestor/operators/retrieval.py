@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
-from attestor.functions.shared import stored
+from attestor.functions.shared import discard, stored
 from attestor.functions.shipping import map_batches, ship
 
 #: Characters of a short needle by which it meets words.
@@ -39,10 +39,11 @@ def term_counts(rows: DataFrame, keys: Sequence[str], text: str = "text", stop_w
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings (term, *key, weight: its share of the passage's unit vector) and terms (term, df, idf), as stored tables."""
+    """Postings (term, *key, weight), terms (term, df, idf) and norms (*key, norm), as stored tables."""
 
     postings: DataFrame
     terms: DataFrame
+    norms: DataFrame
     key: tuple[str, ...]
     stop_words: tuple[str, ...]
 
@@ -56,28 +57,26 @@ class LexicalIndex:
         wanted = asked.join(self.terms, "term").select(query, "term", (F.col("tf") * F.col("idf")).alias("wq"))
         lengths = wanted.groupBy(query).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("normq"))
         unit = wanted.join(lengths, query).select(query, "term", (F.col("wq") / F.col("normq")).alias("wq"))
-        dots = self.postings.join(unit, "term").groupBy(query, *self.key).agg(F.sum(F.col("weight") * F.col("wq")).alias("score"))
-        return dots.filter("score > 0")
+        dots = self.postings.join(unit, "term").groupBy(query, *self.key).agg(F.sum(F.col("weight") * F.col("wq")).alias("dot"))
+        return dots.join(self.norms, list(self.key)).select(query, *self.key, (F.col("dot") / F.col("norm")).alias("score")).filter("score > 0")
 
 
 def lexical_index(passages: DataFrame, key: Sequence[str], stop_words: Sequence[str] = T.STOP_WORDS) -> LexicalIndex:
-    """Build an inverted index of TF-IDF weights once: smooth inverse frequency ln((1 + n) / (1 + df)) + 1, unit length.
+    """Build an inverted index of TF-IDF weights once, with smooth inverse frequency ln((1 + n) / (1 + df)) + 1.
 
-    Passages are dealt by key before their terms are made, so that counting a passage's terms and summing its
-    vector need no further shuffle; what is shuffled by term is the counts for document frequencies, and
-    the postings, which are stored sorted by term.
+    Passages are dealt by key before their terms are made, so counting a passage's terms needs no further shuffle;
+    the counts are stored once and meet the terms' frequencies by an equi-join.
     """
     n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = passages.select(*key, "text").repartition(n, *key)
-    own = term_counts(dealt, key, stop_words=stop_words)
+    own = stored(term_counts(dealt, key, stop_words=stop_words), "counts")
     total = passages.agg(F.count("*").alias("_n"))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")
-    terms = stored(df.join(F.broadcast(total)).select("term", "df", idf), "terms")  # total: one row
-    weighted = own.join(terms, "term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    vectors = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("t"))  # a passage's terms
-    rows = vectors.select(*key, "norm", F.explode("t").alias("t")).select("t.term", *key, (F.col("t.w") / F.col("norm")).alias("weight"))
-    return LexicalIndex(stored(rows.repartition(n, "term").sortWithinPartitions("term"), "postings"), terms, tuple(key), tuple(stop_words))
+    terms = stored(own.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", "df", idf), "terms")  # total: one row
+    postings = stored(own.join(terms, "term").select("term", *key, (F.col("tf") * F.col("idf")).alias("weight")), "postings")
+    norms = stored(postings.groupBy(*key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), "norms")
+    discard(own)
+    return LexicalIndex(postings, terms, norms, tuple(key), tuple(stop_words))
 
 
 def tfidf(passages: DataFrame, questions: DataFrame, key: Sequence[str], query: str, stop_words: Sequence[str] = T.STOP_WORDS) -> DataFrame:
