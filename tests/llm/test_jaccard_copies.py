@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from attestor.llm import jaccard_copies
+from attestor.llm import jaccard_copies, simhash_pivots
 from tests.conftest import SMALL
 
 
@@ -69,3 +71,24 @@ def test_rows_are_told_apart(spark):
     found = sorted(((r.doc_id, r.text) for r in jaccard_copies.drop_near_copies(docs).collect()), key=repr)
     assert found == sorted([(None, "other"), (5, "mine"), (5, "yours"), (5, long + " close"), (6, "twice"), (7, None)], key=repr)
     assert jaccard_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_units_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(30):
+        base = [rng.sample(range(1000), rng.choice((6, 20, 50))) for _ in range(4)]
+        sets = []
+        for _ in range(40):
+            own = set(rng.choice(base))
+            sets.append(np.array(sorted({x if rng.random() > 0.06 else rng.randrange(2000) for x in own}), np.uint64))
+        sizes = np.array([len(s) + rng.randrange(2) for s in sets])  # a set may have more shingles than are shared
+        forest = simhash_pivots.Forest()
+        jaccard_copies.link_unit(list(range(40)), sizes, sets, forest)
+        group = list(range(40))
+        for a in range(40):
+            for b in range(a):
+                both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+                if group[a] != group[b] and 5 * both >= 4 * (sizes[a] + sizes[b] - both):
+                    group = [group[b] if g == group[a] else g for g in group]
+        assert len({forest.root(i) for i in range(40)}) == len(set(group))
+        assert all((forest.root(a) == forest.root(b)) == (group[a] == group[b]) for a in range(40) for b in range(40))
