@@ -31,8 +31,8 @@ from attestor.llm import common, tokens
 CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 20
-#: Bytes of text that are encoded at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that are encoded at once; chunks that a worker remembers.
+BATCH_BYTES, MEMO_CHUNKS = 4 << 20, 500_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, cost double"
@@ -92,7 +92,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
 
 def _pieces(path: str, end_id: int, capacity: int, group_tokens: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = tokens.encoder(path)
+    encoder = tokens.encoder(path, MEMO_CHUNKS)
     schema = pa.schema([(f.split()[0], pa.float64() if f.endswith("double") else pa.int64()) for f in PIECE_SCHEMA.split(", ")])
     names: list = []
     ids: list[np.ndarray] = []
