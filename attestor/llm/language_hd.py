@@ -162,6 +162,7 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
     rows = labelled.filter("lang is not null and text is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     bundles = common.map_batches(rows, _bundles, "lang string, texts long, bundle array<long>")
     each = bundles.select("lang", "texts", F.posexplode("bundle").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"), F.sum("texts").alias("texts"))
+    each = common.stored(each, "bundles")  # read twice, made once
     most = each.filter("d = 0").orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES).select("lang")
     vectors: dict[str, np.ndarray] = {}
     for lang, d, x in each.join(F.broadcast(most), "lang", "left_semi").select("lang", "d", "x").collect():  # MOST_LANGUAGES x DIMENSIONS numbers
