@@ -4,7 +4,12 @@ A text's set holds the hashes of its shingles of SHINGLE words (lower-cased in A
 space); a text of fewer words is one shingle.  Two texts link when their sets' similarity is LEAST (as a
 fraction) or more; a component of links is a group of near copies.
 
-No link is missed.  A shingle that occurs in one text only is in no intersection, so a text with fewer
+``drop_near_copies`` begins with op10's method: SimHash fingerprints that differ in few bits, found by their stored
+pivot tables.  Each text of a component of fingerprints is held against its first text, shingle by shingle: those of
+similarity LEAST or more are links, and those of the same set go, as their links are the first text's.  Fingerprints
+can't tell the other links (README gives figures); they come from a join of sets over all texts that are left.
+
+That join misses no link.  A shingle that occurs in one text only is in no intersection, so a text with fewer
 than LEAST of its set in other texts links with none and goes first; for nearly all texts that is the end.
 That is asked twice: of the shingles whose hash falls into SENT of all values (a text that links misses no
 more of these than it may miss at all), then of the whole sets of the texts that are left.
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm import common
+from attestor.llm import common, simhash_pivots
 from attestor.llm.components import components
 from attestor.llm.simhash_pivots import _SPACES, Forest
 
@@ -252,6 +257,43 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(linked, pa.bool_()), pa.array(names, pa.int64())], names=[*batch.schema.names[:5], "linked", "leader"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, text) as (name, size, shingles)."""
+    schema = pa.schema([("name", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
+    for batch in common.slices(batches, "text"):
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        yield common.one_batch(schema, {"name": batch.column(0), "size": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, size, shingles, first: a struct of the same) as (u, v, linked, same): whether the two texts link, and whether their sets are equal."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("same", pa.bool_())])
+    for batch in batches:
+        found = []
+        for name, size, packed, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            both = len(np.intersect1d(np.frombuffer(packed, np.uint64), np.frombuffer(first["shingles"], np.uint64), assume_unique=True))
+            found.append((name, first["name"], both * sum(LEAST) >= LEAST[0] * (size + first["size"]), both == size == first["size"]))
+        if found:
+            yield common.one_batch(schema, dict(zip(schema.names, zip(*found, strict=True), strict=True)))
+
+
+def fingerprint_links(texts: DataFrame) -> DataFrame:
+    """(u, v, linked, same) of ``texts`` (name, text): each text whose SimHash reaches another's, and its component's first text, checked by their sets."""
+    near = simhash_pivots.near_copies(texts.select(F.col("name").alias("doc_id"), "text"))
+    near = near.filter("doc_id <> component_id").select(F.col("doc_id").alias("name"), F.col("component_id").alias("first")).distinct()
+    near = common.stored(near, "fingerprint-copies")
+    wanted = near.select("name").union(near.select("first")).distinct()
+    rows = common.marked(texts.select("name", "text"), "name", wanted).filter("_met").select("name", "text")
+    sets = common.map_batches(rows, _whole, "name long, size long, shingles binary").join(wanted, "name", "left_semi")
+    sets = common.stored(sets.dropDuplicates(["name"]), "fingerprint-sets")
+    firsts = near.groupBy("first").agg(F.count("*").alias("n")).join(sets.withColumnRenamed("name", "first"), "first")
+    firsts = common.stored(firsts.select("first", "n", F.struct(F.col("first").alias("name"), "size", "shingles").alias("leader")), "firsts")
+    met = common.attach(near.join(sets, "name"), firsts, ["first"], "n", "name").select("name", "size", "shingles", "leader")
+    found = common.stored(common.map_batches(met, _checked, "u long, v long, linked boolean, same boolean"), "checked")
+    common.discard(near, sets, firsts)
+    return found
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (component, first, second, name, size, shingles) ordered by unit: a forest of the links within units."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -324,7 +366,14 @@ def links(texts: DataFrame, count: int, unit: int = UNIT_SHINGLES) -> DataFrame:
 def drop_near_copies(docs: DataFrame, unit: int = UNIT_SHINGLES) -> DataFrame:
     """One row of each group of near copies, with all its columns: that of least doc_id."""
     named = docs.select(F.xxhash64(common.text_of()).alias("name"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), common.whole_row(docs).alias("_row"), F.spark_partition_id().alias("part"))
-    linked = components(links(named, docs.count(), unit)).toDF("name", "component")
+    checked = fingerprint_links(named)
+    # Texts of the same set have the same links, so one of them is joined.
+    same = checked.filter("same").select(F.col("u").alias("name"))
+    met = common.marked(named.select("name", "text"), "name", same)
+    left = met.filter("not _met").unionByName(met.filter("_met").join(same, "name", "left_anti")).select("name", "text")
+    joined = links(left, docs.count(), unit).union(checked.filter("linked").select("u", "v"))
+    linked = components(joined).toDF("name", "component")
+    common.discard(checked)
     # Of each text, then of each component: the least doc_id, and how many rows repeat it.
     ids = named.groupBy("name", "doc_id").agg(F.count("*").alias("again"))
     own = ids.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name", "again")).alias("best"), F.sum("again").alias("n"))

@@ -20,7 +20,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 or more of their five-word shingles alike) the row of least doc_id stays.
 
-    SimHash distances can't tell these pairs (README gives figures), so the links come from an exact set join.
+    Fingerprints and pivot tables (op10's method) come first and are checked exactly; the pairs that SimHash distances
+    can't tell (README gives figures) come from an exact join of sets.
     """
     return jaccard_copies.drop_near_copies(docs)
 
