@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
-import sys
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -13,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.shared import discard, own_folder, stored  # noqa: F401
-from attestor.functions.shipping import map_batches  # noqa: F401
+from attestor.functions.shipping import give_back, kept, map_batches  # noqa: F401
 
 #: Most classes that one broadcast of heavy keys may carry.
 HEAVY_KEYS = 1000
@@ -72,19 +69,6 @@ def one_batch(schema: pa.Schema, columns: dict[str, Sequence]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-@cache
-def _trim():
-    """The C library's function that returns free memory to the system, where there is one."""
-    return getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-
-
-def give_back() -> None:
-    """Return memory that a batch has freed: a worker serves many tasks, and two share an executor's memory."""
-    pa.default_memory_pool().release_unused()
-    if trim := _trim():
-        trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, trim: bool = True) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each take about ``most_bytes`` (one row at least); ``trim``: give memory back after each."""
     for batch in batches:

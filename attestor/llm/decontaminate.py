@@ -33,7 +33,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, partial, reduce
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -245,7 +245,7 @@ def _written(block: Block, folder: str, number: int) -> str:
     return path
 
 
-@lru_cache(maxsize=BLOCKS_HELD)
+@partial(common.kept, most=BLOCKS_HELD)
 def _read(path: str) -> Block:
     store, inside = _file_system(path)
     with store.open_input_stream(inside) as file:
@@ -329,9 +329,10 @@ def blocks(benchmark: DataFrame, texts: DataFrame, most_words: int = BLOCK_WORDS
     count = -(-held // most_words)
     number = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(count)).cast("int").alias("block")
     dealt = rows.select(number, "item_id", "text").repartition(min(count, n), "block").sortWithinPartitions("block", "text", "item_id")
-    built = dict(common.stored(common.map_batches(dealt, partial(_build, folder), "block int, path string"), "blocks").collect())
+    files = common.stored(common.map_batches(dealt, partial(_build, folder), "block int, path string"), "blocks")
+    built = dict(files.collect())
     counted = common.map_batches(texts.select("text"), partial(_count, built), "block int, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n"))
-    none = spark.createDataFrame([(b, 0, 0) for b in built], "block int, word long, n long")  # a corpus without texts counts nothing
+    none = files.select("block", F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("n"))  # a corpus without texts counts nothing
     ordered = counted.unionByName(none).repartition(min(count, n), "block").sortWithinPartitions("block")
     found = common.stored(common.map_batches(ordered, partial(_seeded, built, folder), "block int, path string"), "blocks").collect()
     return [path for _, path in sorted(found)]

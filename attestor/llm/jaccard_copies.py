@@ -44,7 +44,7 @@ SHINGLE = 5
 #: The least similarity, as numerator and denominator.
 LEAST = (4, 5)
 #: Texts whose shingles are counted together; shingles that a task gathers, that a row holds, and that are compared in one task.
-PART_TEXTS, HELD, ROW, UNIT_SHINGLES = 4096, 1 << 20, 512, 1 << 22
+PART_TEXTS, HELD, ROW, UNIT_SHINGLES = 4096, 1 << 19, 512, 1 << 22
 #: The share of shingles that is counted first, as numerator and denominator.
 SENT = (3, 10)
 

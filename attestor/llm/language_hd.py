@@ -26,7 +26,7 @@ rows that repeat are scored each by itself; columns of the table named like thos
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
     return (2 * np.unpackbits(h.view(np.uint8), axis=1).astype(np.int8) - 1).reshape(len(points), DIMENSIONS)
 
 
-@cache
+@common.kept
 def letters() -> np.ndarray:
     """Whether each code point is a letter."""
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
@@ -69,7 +69,7 @@ def symbols(text: str) -> np.ndarray:
     return found[np.concatenate(([True], (found[1:] != 0) | (found[:-1] != 0)))]
 
 
-@cache
+@common.kept
 def _numbers() -> np.ndarray:
     return np.zeros(0x110000, np.int64)
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import gc
 import os
-from functools import cache
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from attestor.functions.shipping import kept
+
 #: Chunks that one Python worker remembers, and the longest of them in characters.
 MEMO_CHUNKS, MEMO_CHARS = 900_000, 48
 #: Chunks that are encoded together; bytes of text that a caller had best pass at once.
@@ -174,7 +175,7 @@ class Encoder:
         return [ids[a:b] if cut else np.frombuffer(self.whole(text.as_py()), "<u2") for a, b, cut, text in zip(cuts[:-1], cuts[1:], apart.tolist(), texts, strict=True)]
 
 
-@cache
+@kept
 def encoder(path: str, most_chunks: int = MEMO_CHUNKS) -> Encoder:
-    """One encoder a Python worker."""
+    """One encoder a Python worker, for as long as its tasks are of one function."""
     return Encoder(path, most_chunks)
