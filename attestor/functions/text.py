@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, with the four separators that Java's class lacks.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
-TOKEN = r"[\p{L}\p{M}\p{N}_]{2,}"
+TOKEN = r"[\p{L}\p{M}\p{N}_]{2,}+"
 
 #: Default stop words; pass another list where a fitted vocabulary needs it.
 STOP_WORDS = tuple(
@@ -41,8 +41,12 @@ def receipt(text: Column) -> Column:
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-cased word tokens of two characters or more, without stop words (looked up in a hash set)."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
+    return without(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), stop_words)
+
+
+def without(own: Column, stop_words: Sequence[str]) -> Column:
+    """The tokens that are no stop words."""
+    return F.filter(own, lambda t: ~t.isin(*stop_words)) if stop_words else own
 
 
 def read_stop_words(path: str) -> tuple[str, ...]:
@@ -53,7 +57,11 @@ def read_stop_words(path: str) -> tuple[str, ...]:
 
 def term_pairs(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """array<struct<a, b>>: each token and the one that follows it once stop words are gone (null at the end)."""
-    own = tokens(text, stop_words)
+    return neighbours(tokens(text, stop_words))
+
+
+def neighbours(own: Column) -> Column:
+    """array<struct<a, b>>: each element and the one that follows it (null at the end)."""
     return F.arrays_zip(own.alias("a"), F.slice(own, 2, F.greatest(F.size(own), F.lit(1))).alias("b"))
 
 

@@ -16,9 +16,9 @@ from attestor.plans.registry import query, table
 CUTOFFS = (1, 4, 10)
 
 
-def _cases(spark, sf_dir):
+def _cases(spark, sf_dir, references=None):
     items = table(spark, sf_dir, "benchmark").select("item_id")
-    known = I.references(spark, sf_dir).select("item_id").distinct().withColumn("answerable", F.lit(True))
+    known = (references or I.references(spark, sf_dir)).select("item_id").distinct().withColumn("answerable", F.lit(True))
     return items.join(known, "item_id", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
 
 
@@ -81,10 +81,11 @@ def reference_targets(spark, sf_dir):
 # Evidence: every line of an item is a group, every document that contains the item an alternative, every
 # passage of it with the line a span.  As stand-ins, passages of documents divisible by 7 were not measured by the
 # encoder, and what it retained of the others are their two halves.
-def _spans(spark, sf_dir):
+def _spans(spark, sf_dir, references=None):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("group_id", "line"))
     lines = items.select("item_id", "group_id", T.normalize_space(F.col("line")).alias("line")).filter("line <> ''")
-    own = I.references(spark, sf_dir).join(lines, "item_id").join(I.passages(spark, sf_dir), "doc_id").filter(F.contains("text", "line"))
+    references = references or I.references(spark, sf_dir)
+    own = references.join(lines, "item_id").join(I.passages(spark, sf_dir, references), "doc_id").filter(F.contains("text", "line"))
     start = F.instr("text", F.col("line")) - 1
     return own.select("item_id", "group_id", F.col("doc_id").alias("alternative"), "passage_id", start.alias("start"), (start + F.length("line")).alias("end"), "line", "text")
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.functions.shared import stored
 from attestor.operators import answers as A
 from attestor.operators import contracts as K
 from attestor.operators import evaluation as E
@@ -169,17 +170,19 @@ def citations_shown(spark, sf_dir):
 
 
 # Cases with passage references: the passages that hold a line of the item, in the documents that hold the item.
-def _cases(spark, sf_dir):
+def _cases(spark, sf_dir, references=None):
     kind = F.when(F.col("item_id") % 3 == 0, "paraphrase").when(F.col("item_id") % 3 == 1, "exact-terminology")
-    return Q._cases(spark, sf_dir).select("item_id", (~F.col("answerable")).alias("expected_abstention"), kind.alias("query_style"))
+    return Q._cases(spark, sf_dir, references).select("item_id", (~F.col("answerable")).alias("expected_abstention"), kind.alias("query_style"))
 
 
 def _metrics(spark, sf_dir):
-    spans = Q._spans(spark, sf_dir)
-    hits, found = I.lexical(spark, sf_dir, 10).withColumnRenamed("doc_id", "document_id"), spans.select("item_id", "passage_id").distinct()
-    sources = I.references(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
-    metrics = R.case_metrics(_cases(spark, sf_dir), sources, found, hits, found, "item_id", Q.CUTOFFS)
-    whole = I.passages(spark, sf_dir).select("passage_id", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"))).alias("retained"))
+    # References, spans and hits are read at every cutoff, so they are made once; a span's passage is measured whole.
+    references = stored(I.references(spark, sf_dir), "references")
+    spans = stored(Q._spans(spark, sf_dir, references).withColumn("length", F.length("text")).drop("line", "text"), "spans")
+    hits = stored(I.lexical(spark, sf_dir, 10).withColumnRenamed("doc_id", "document_id"), "ranked")
+    found, sources = spans.select("item_id", "passage_id").distinct(), references.withColumnRenamed("doc_id", "document_id")
+    metrics = R.case_metrics(_cases(spark, sf_dir, references), sources, found, hits, found, "item_id", Q.CUTOFFS)
+    whole = spans.select("passage_id", "length").distinct().select("passage_id", F.array(F.struct(F.lit(0).alias("start"), F.col("length").alias("end"))).alias("retained"))
     parts = [E.evidence_coverage(E.span_visibility(spans, hits.filter(F.col("rank") <= k), whole, "item_id"), "item_id")[0].withColumn("k", F.lit(k)) for k in Q.CUTOFFS]
     return metrics.join(group_summary(reduce(DataFrame.unionByName, parts), ["item_id", "k"]), ["item_id", "k"], "left")
 
